@@ -11,8 +11,9 @@ def zeros(size: int) -> Column:
 
 
 def last_element(column: Column) -> Column:
-    """Last entry; null for an empty array (plain element_at raises there)."""
-    return F.try_element_at(column, F.lit(-1))
+    """Last entry; null for an empty array (element_at raises there, and a filter on
+    try_element_at over a literal array drops out of generated code)."""
+    return F.get(column, F.size(column) - 1)
 
 
 def any_one(column: Column) -> Column:
@@ -25,4 +26,4 @@ def all_ones(column: Column) -> Column:
 
 def exploded_positions(column: Column, size: int, prefix: str) -> list[Column]:
     """The array as ``size`` scalar columns ``prefix1 .. prefixN``."""
-    return [F.try_element_at(column, F.lit(k)).alias(f"{prefix}{k}") for k in range(1, size + 1)]
+    return [F.get(column, F.lit(k - 1)).alias(f"{prefix}{k}") for k in range(1, size + 1)]
