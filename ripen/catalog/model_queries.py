@@ -1 +1,109 @@
-"""Queries that train models (compared by row count only)."""
+"""Queries that train models, tune them, or run as streams.
+
+What they return depends on random draws or on floating-point training, so they have no SQL
+twin; tests check them against brute force and planted truth.  Sizes that only cost time
+(trees, epochs, layer widths) are set small here and default to the full ones in the library.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import exploded_positions
+from ..models import ModelSpec, fit_predict
+from ..models.features import fit_one_hot
+from ..models.neural import stratified_holdout
+from ..operators import metrics, shift, splits
+from . import tables as t
+from .queries import query, rounded
+
+_NETWORK = {"epochs": 3, "deep_hidden": (32, 16), "batch_size": 256}
+
+
+def _spec(clean, **options) -> ModelSpec:
+    return ModelSpec(categorical=clean.categorical, numeric=clean.numeric, **options)
+
+
+def _metrics(spark, sf_dir, model, **options):
+    rows, clean = t.prepared(spark, sf_dir)
+    outcome = fit_predict(model, rows, t.FOLD, _spec(clean, **options))
+    return rounded(metrics.evaluate(outcome.predictions))
+
+
+@query
+def holdout(spark, sf_dir):
+    rows = splits.train_all(t.prepared(spark, sf_dir)[0], t.FOLD.train_end)
+    negative = shift.negative_table(
+        shift.observe(rows, t.FOLD.train_end, t.TAU_DAYS), t.FOLD.train_end, t.TAU_DAYS)
+    return stratified_holdout(negative, "s", 0.10, 42).select("impression_id", "s", "is_valid")
+
+
+@query
+def one_hot(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    rows, clean = t.prepared(spark, sf_dir)
+    features = fit_one_hot(splits.train_single(rows, t.FOLD.train_end), clean.categorical, clean.numeric)
+    return features.apply(rows).select(
+        "impression_id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query
+def lr(spark, sf_dir):
+    return _metrics(spark, sf_dir, "lr")
+
+
+@query
+def rf(spark, sf_dir):
+    return _metrics(spark, sf_dir, "rf", calibrate=True,
+                    params={"n_trees": 20, "min_samples_leaf": 20, "max_depth": 8})
+
+
+@query
+def mlp_single(spark, sf_dir):
+    return _metrics(spark, sf_dir, "mlp", aux=None, params=_NETWORK)
+
+
+@query
+def mlp_click(spark, sf_dir):
+    return _metrics(spark, sf_dir, "mlp", calibrate=True, params=_NETWORK)
+
+
+@query
+def mlp_heads(spark, sf_dir):
+    return _metrics(spark, sf_dir, "mlp", aux=None, n_heads=t.N_HEADS, params=_NETWORK)
+
+
+@query
+def mlp_heads_click(spark, sf_dir):
+    return _metrics(spark, sf_dir, "mlp", n_heads=t.N_HEADS, calibrate=True, params=_NETWORK)
+
+
+@query
+def deep_fm(spark, sf_dir):
+    return _metrics(spark, sf_dir, "deep_fm", aux=None, params=_NETWORK)
+
+
+@query
+def deep_fm_heads_click(spark, sf_dir):
+    return _metrics(spark, sf_dir, "deep_fm", n_heads=t.N_HEADS, calibrate=True, params=_NETWORK)
+
+
+@query
+def esmm(spark, sf_dir):
+    return _metrics(spark, sf_dir, "esmm", calibrate=True, params=_NETWORK)
+
+
+@query
+def fsiw(spark, sf_dir):
+    return _metrics(spark, sf_dir, "fsiw", aux=None, max_delay_days=12,
+                    params={**_NETWORK, "selection_trees": 5, "selection_depth": 3})
+
+
+@query
+def head_labels(spark, sf_dir):
+    """Head labels and masks as scalar columns, as the network trainer reads them."""
+    rows = splits.train_multi(t.prepared(spark, sf_dir)[0], t.FOLD.train_end)
+    return rows.select(
+        "impression_id", *exploded_positions(F.col("bucket_vec"), t.N_HEADS, "b"),
+        *exploded_positions(F.col("mask_train"), t.N_HEADS, "m"))

@@ -12,7 +12,7 @@ from ..operators.conform import Conformed, conform
 from ..operators.running import find_hot_keys
 from ..plans.folds import Fold
 from ..plans.prepare import PreprocessConfig, prepare_fold, with_buckets, with_history
-from ..session import prepare_session
+from ..session import cut, prepare_session
 from ..sources.events import IMPRESSION_TYPES, LOG_START_EPOCH, raw_impressions, read_events
 
 CONFIG = PreprocessConfig(log_start_epoch=LOG_START_EPOCH)
@@ -37,7 +37,9 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_buckets(history(spark, sf_dir), CONFIG, sample=False)
+    """The preprocessed rows; the intermediate table is written once, as later stages scan it
+    several times (horizon, cut-offs, vocabularies)."""
+    return with_buckets(cut(history(spark, sf_dir)), CONFIG, sample=False)
 
 
 def conformed(spark: SparkSession, sf_dir: str) -> Conformed:

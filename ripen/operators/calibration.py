@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import logit, sigmoid
+from ..session import cut
 from .heads import click_and_convert_probability, cross_entropy, hazard_probability
 
 
@@ -39,6 +40,9 @@ def fit_platt(
     """Fit ``sigmoid(slope * x + intercept)``; without rows of both classes, the identity."""
     x = F.col(x) if isinstance(x, str) else x
     y = (F.col(y) if isinstance(y, str) else y).cast("double")
+    # Every step reads the pairs again: keep them, not what they are computed from.
+    cal = cut(cal.select(x.alias("x"), y.alias("y")))
+    x, y = F.col("x"), F.col("y")
     platt = Platt()
     at = _sums(cal, x, y, platt)
     if not at["n"] or at["pos"] in (None, 0.0) or at["pos"] == at["n"]:
