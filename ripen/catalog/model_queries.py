@@ -14,6 +14,11 @@ from ..models import ModelSpec, fit_predict
 from ..models.features import fit_one_hot
 from ..models.neural import stratified_holdout
 from ..operators import metrics, shift, splits
+from ..operators.delays import bucket_edges, horizon
+from ..plans.experiment import ExperimentConfig, run_experiment, spec_for
+from ..plans.tuning import Scorer, draw_network, tune_forest, tune_network
+from ..session import shared_folder
+from ..streaming import bucket_counts_stream, label_stream, run_available
 from . import tables as t
 from .queries import query, rounded
 
@@ -107,3 +112,72 @@ def head_labels(spark, sf_dir):
     return rows.select(
         "impression_id", *exploded_positions(F.col("bucket_vec"), t.N_HEADS, "b"),
         *exploded_positions(F.col("mask_train"), t.N_HEADS, "m"))
+
+
+_TINY_SPACE = {"epochs": 1, "deep_hidden": (16,), "batch_size": 512, "emb_dim": 2}
+
+
+def _config(**options) -> ExperimentConfig:
+    return ExperimentConfig(outer_lengths=t.FOLD_LENGTHS, inner_lengths=t.INNER_LENGTHS,
+                            first_day=t.FIRST_DAY, **options)
+
+
+@query
+def tune_rf(spark, sf_dir):
+    """Two leaf sizes on the inner folds of the first outer fold."""
+    clean = t.materialised(spark, sf_dir)
+    config = _config(model="rf", params={"n_trees": 5, "max_depth": 5})
+    scorer = Scorer(clean.rows, t.FOLD, clean.cuts, spec_for(clean, config, config.params), "rf",
+                    t.INNER_LENGTHS)
+    found = tune_forest(scorer, grid=(10, 50))
+    return spark.createDataFrame(
+        [(c.params["min_samples_leaf"], float(c.score)) for c in found.trials],
+        "min_samples_leaf int, score double")
+
+
+@query
+def tune_net(spark, sf_dir):
+    """A warm start and one draw of the network search."""
+    clean = t.materialised(spark, sf_dir)
+    config = _config(model="mlp")
+    scorer = Scorer(clean.rows, t.FOLD, clean.cuts, spec_for(clean, config, {}), "mlp", t.INNER_LENGTHS)
+    found = tune_network(
+        scorer, previous={**_TINY_SPACE, "learning_rate": 1e-3}, previous_score=0.0, budget=2, short=1,
+        draw=lambda rng, aux: {**draw_network(rng, aux), **_TINY_SPACE})
+    return spark.createDataFrame(
+        [(c.candidate, float(c.params["learning_rate"]), float(c.score)) for c in found.trials],
+        "candidate int, learning_rate double, score double")
+
+
+@query
+def experiment(spark, sf_dir):
+    """Logistic regression over every outer fold, with the average row."""
+    return rounded(run_experiment(t.materialised(spark, sf_dir), _config(model="lr", tune=False)).metrics)
+
+
+def _streamed(spark, source, name):
+    """The rows as a file stream."""
+    folder = shared_folder(spark, name)
+    source.write.parquet(folder)
+    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+
+
+@query
+def stream_labels(spark, sf_dir):
+    rows = t.bucketed(spark, sf_dir)
+    edges = bucket_edges(horizon(rows))
+    impressions = _streamed(
+        spark, rows.select("impression_id", "uid", "timestamp_dt"), "impressions")
+    conversions = _streamed(
+        spark, rows.filter("conversion = 1").select("impression_id", "conversion_timestamp_dt"), "conversions")
+    target = shared_folder(spark, "labels")
+    run_available(label_stream(impressions, conversions, edges), target, shared_folder(spark, "state"))
+    return spark.read.parquet(target).select("impression_id", "conversion", "conversion_delay", "bucket.bucket_id")
+
+
+@query
+def stream_buckets(spark, sf_dir):
+    rows = t.bucketed(spark, sf_dir).select("timestamp_dt", "bucket")
+    target = shared_folder(spark, "counts")
+    run_available(bucket_counts_stream(_streamed(spark, rows, "bucketed")), target, shared_folder(spark, "state"))
+    return spark.read.parquet(target)

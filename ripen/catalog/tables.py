@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +73,9 @@ def scored(rows: DataFrame) -> DataFrame:
     return rows.withColumn("z", formula_logit()).withColumns({
         "p": sigmoid(F.col("z")), "y": F.col("conversion"),
     })
+
+
+def materialised(spark: SparkSession, sf_dir: str) -> Conformed:
+    """The conformed rows written once, as an experiment reads them fold after fold."""
+    clean = conformed(spark, sf_dir)
+    return replace(clean, rows=cut(clean.rows))

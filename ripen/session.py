@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,10 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder next to the checkpoints, reachable by all executors."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/{name}-{uuid.uuid4().hex}"
