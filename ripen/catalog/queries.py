@@ -15,7 +15,6 @@ from ..functions import any_one, epoch_seconds, exploded_positions, hash_share,
 from ..operators import (
     calibration, delays, heads, history, maturity, metrics, numerics, ranking, shift, splits, vocabulary,
 )
-from ..operators.running import find_hot_keys
 from ..plans import folds as fold_plans
 from ..sources.events import LOG_START_EPOCH
 from . import tables as t
@@ -93,9 +92,7 @@ def user_features(spark, sf_dir):
 @query
 def user_features_split(spark, sf_dir):
     """The same features with every busy user cut into time slices."""
-    timed = history.add_delay_and_times(t.raw(spark, sf_dir, hot_rows=20), LOG_START_EPOCH)
-    hot = find_hot_keys(timed, "uid", "timestamp_dt", 15)
-    return history.add_user_history(timed, hot=hot).select(*_FEATURES)
+    return t.history(spark, sf_dir, hot_rows=20).select(*_FEATURES)
 
 
 @query
@@ -544,7 +541,7 @@ def topk(spark, sf_dir):
 def topk_ties(spark, sf_dir):
     """Scores of one decimal: the cuts fall inside large groups of equal scores."""
     predictions = _predictions(spark, sf_dir).withColumn("p", F.round("p", 1))
-    hits = ranking.top_share_hits(predictions, ranking.score_table(predictions), metrics.SHARES)
+    hits = metrics.top_hits(predictions, ranking.score_table(predictions))
     return hits.select("share", "k", "tp")
 
 

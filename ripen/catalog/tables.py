@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sigmoid
 from ..operators.conform import Conformed, conform
-from ..operators.running import find_hot_keys
+from ..operators.running import HotKeys, find_hot_keys
 from ..plans.folds import Fold
 from ..plans.prepare import PreprocessConfig, prepare_fold, with_buckets, with_history
 from ..session import cut, prepare_session
@@ -26,15 +26,21 @@ N_HEADS = 4
 TAU_DAYS = 2
 
 
+def hot_users(events: DataFrame, hot_rows: int = CONFIG.hot_rows) -> HotKeys:
+    """Busy users of the relevant events, which serve every running aggregate over them."""
+    relevant = events.filter(F.col("event_type").isin(*IMPRESSION_TYPES, "purchase"))
+    return find_hot_keys(relevant.withColumnRenamed("user_id", "uid"), "uid", "ts", hot_rows)
+
+
 def raw(spark: SparkSession, sf_dir: str, *, hot_rows: int = CONFIG.hot_rows) -> DataFrame:
     events = read_events(prepare_session(spark), sf_dir)
-    relevant = events.filter(F.col("event_type").isin(*IMPRESSION_TYPES, "purchase"))
-    hot = find_hot_keys(relevant.withColumnRenamed("user_id", "uid"), "uid", "ts", hot_rows)
-    return raw_impressions(events, hot=hot)
+    return raw_impressions(events, hot=hot_users(events, hot_rows))
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_history(raw(spark, sf_dir), CONFIG)
+def history(spark: SparkSession, sf_dir: str, *, hot_rows: int = CONFIG.hot_rows) -> DataFrame:
+    events = read_events(prepare_session(spark), sf_dir)
+    hot = hot_users(events, hot_rows)
+    return with_history(raw_impressions(events, hot=hot), CONFIG, hot=hot)
 
 
 def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +54,10 @@ def conformed(spark: SparkSession, sf_dir: str) -> Conformed:
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Conformed]:
+    """The first outer fold, ready for splitting; written once, as its readers take several
+    splits of it."""
     clean = conformed(spark, sf_dir)
-    return prepare_fold(clean.rows, FOLD, clean.cuts, clean.categorical), clean
+    return cut(prepare_fold(clean.rows, FOLD, clean.cuts, clean.categorical)), clean
 
 
 def formula_logit():

@@ -47,7 +47,9 @@ class DenseEncoder:
 
     def apply(self, df: DataFrame) -> DataFrame:
         if self.categorical:
-            df = vocabulary.encode_categories(df, self.index, self.categorical, unseen=self.unseen)
+            df = vocabulary.encode_categories(
+                df, self.index, self.categorical, unseen=self.unseen,
+                counted=dict(zip(self.categorical, self.sizes)))
         return numerics.add_scaled(df, self.scales)
 
 

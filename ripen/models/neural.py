@@ -67,10 +67,17 @@ def _fit(rows: DataFrame, encoder: DenseEncoder, kind: str, n_out: int, layout:
     return train_network(rows, shape, layout, settings, seed, **options)
 
 
-def _heads_outcome(fitted: Fitted, encoder: DenseEncoder, cal, test, spec: ModelSpec) -> Outcome:
+def _encoded(rows: DataFrame, train: DataFrame, spec: ModelSpec, unseen: str) -> tuple[DataFrame, DenseEncoder]:
+    """All rows of the fold encoded once with what ``train`` shows; the splits are filters
+    over them."""
+    encoder = _encoder(train, spec, unseen)
+    return cut(encoder.apply(rows)), encoder
+
+
+def _heads_outcome(fitted: Fitted, cal, test, spec: ModelSpec) -> Outcome:
     """Score, aggregate the heads' hazards where there are several, and calibrate."""
     def score(df):
-        return None if df is None else fitted.logits(encoder.apply(df))
+        return None if df is None else fitted.logits(df)
 
     if spec.n_heads == 1:
         z, raw, label = F.col("z1"), sigmoid(F.col("z1")), F.col(TARGET)
@@ -87,14 +94,14 @@ def _heads_outcome(fitted: Fitted, encoder: DenseEncoder, cal, test, spec: Model
 def _multi_mode(rows, fold, spec, *, kind, defaults, unseen, risk_set) -> Outcome:
     settings = spec.settings(defaults)
     pick = splits.train_multi if spec.n_heads > 1 else splits.train_single
+    rows, encoder = _encoded(rows, pick(rows, fold.train_end), spec, unseen)
     train = pick(rows, fold.train_end)
     cal, test = late_splits(rows, fold, spec.calibrate)
     splits.require_rows(train=train, test=test)
-    encoder = _encoder(train, spec, unseen)
     layout = _layout(encoder, spec.n_heads, bool(spec.aux))
-    encoded = encoder.apply(train).withColumns(_labels(spec, risk_set))
-    fitted = _fit(encoded, encoder, kind, spec.n_heads + bool(spec.aux), layout, settings, spec.seed)
-    return _heads_outcome(fitted, encoder, cal, test, spec)
+    labelled = train.withColumns(_labels(spec, risk_set))
+    fitted = _fit(labelled, encoder, kind, spec.n_heads + bool(spec.aux), layout, settings, spec.seed)
+    return _heads_outcome(fitted, cal, test, spec)
 
 
 def trunk_network(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Outcome:
@@ -119,19 +126,17 @@ def esmm(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Outcome:
     if not spec.aux:
         raise ValueError("The entire-space model needs the click column as second task.")
     settings = spec.settings(DEFAULTS)
+    rows, encoder = _encoded(rows, splits.train_single(rows, fold.train_end), spec, "raise")
     train = splits.train_single(rows, fold.train_end)
     cal, test = late_splits(rows, fold, spec.calibrate)
     splits.require_rows(train=train, test=test)
     organic = numerics.organic_share(train, target=TARGET, aux=spec.aux).first()[0]
-    encoder = _encoder(train, spec, "raise")
     layout = _layout(encoder, 1, True)
-    encoded = encoder.apply(train).withColumns(
-        {"y1": F.col(TARGET), "w1": F.lit(1.0), "aux_y": F.col(spec.aux)})
-    fitted = _fit(encoded, encoder, "towers", 2, layout, settings, spec.seed, product=True)
+    labelled = train.withColumns({"y1": F.col(TARGET), "w1": F.lit(1.0), "aux_y": F.col(spec.aux)})
+    fitted = _fit(labelled, encoder, "towers", 2, layout, settings, spec.seed, product=True)
     p = heads.click_and_convert_probability(F.col("z1"), F.col("z2"))
     return finish(
-        None if cal is None else fitted.logits(encoder.apply(cal)),
-        fitted.logits(encoder.apply(test)),
+        None if cal is None else fitted.logits(cal), fitted.logits(test),
         logit(p, 1e-12), p, F.col(TARGET), slope=bool(spec.platt_slope),
         extra={"aux_y": F.col(spec.aux), "aux_p": sigmoid(F.col("z1"))},
         notes={"organic_share": organic},
@@ -170,11 +175,11 @@ def fsiw(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Outcome:
     settings = spec.settings({**DEFAULTS, **SELECTION_DEFAULTS})
     tau = int(settings["tau_days"])
     shift.check_tau(tau, spec.max_delay_days)
+    rows, encoder = _encoded(rows, splits.train_all(rows, fold.train_end), spec, "raise")
     train = splits.train_all(rows, fold.train_end)
     cal, test = late_splits(rows, fold, spec.calibrate)
     splits.require_rows(train=train, test=test)
-    encoder = _encoder(train, spec, "raise")
-    observed = cut(shift.observe(encoder.apply(train), fold.train_end, tau))
+    observed = shift.observe(train, fold.train_end, tau)
 
     fit_columns = [*encoder.columns, "time"]
     deadline = F.col(shift.ELAPSED_DEADLINE)
@@ -193,4 +198,4 @@ def fsiw(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Outcome:
     })
     layout = _layout(encoder, 1, False)
     fitted = _fit(weighted, encoder, "trunk", 1, layout, settings, spec.seed)
-    return _heads_outcome(fitted, encoder, cal, test, spec)
+    return _heads_outcome(fitted, cal, test, spec)

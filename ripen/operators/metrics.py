@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clip_probability, safe_ratio
-from ..session import SMALL_ROWS
-from .ranking import exact_quantiles, score_table, top_share_hits
+from ..session import SMALL_ROWS, cut
+from .ranking import exact_quantiles, score_table, share_edges, top_share_hits
 
 SHARES = (0.05, 0.10, 0.20)
 METRICS = ("nll_mean", "rce", "ap", "pr_auc", "base_rate") + tuple(
@@ -31,46 +31,44 @@ def nll(y: Column, p: Column, eps: float = 1e-15) -> Column:
     return -(y * F.ln(q) + (F.lit(1) - y) * F.ln(F.lit(1.0) - q))
 
 
+def _rce(nll_mean: Column, base_rate: Column) -> Column:
+    """Gain over always predicting the base rate, in percent."""
+    return (F.lit(1.0) - nll_mean / F.greatest(nll(base_rate, base_rate), F.lit(1e-15))) * 100.0
+
+
 def loss_metrics(predictions: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """Mean negative log-likelihood and relative cross entropy (percent over the base rate)."""
     y = F.col("y").cast("double")
     sums = predictions.groupBy(*by).agg(
         F.avg(nll(y, F.col("p"))).alias("nll_mean"), F.avg(y).alias("base_rate")
     )
-    base = nll(F.col("base_rate"), F.col("base_rate"))
-    return sums.withColumn(
-        "rce", (F.lit(1.0) - F.col("nll_mean") / F.greatest(base, F.lit(1e-15))) * 100.0
-    )
+    return sums.withColumn("rce", _rce(F.col("nll_mean"), F.col("base_rate")))
 
 
-def curve_metrics(table: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
-    """Average precision and the area under the precision-recall curve.
+def _curve_sums() -> list[Column]:
+    """Average precision and the area under the precision-recall curve, as sums over the
+    descending score table.
 
-    Both are plain sums over the descending score table: recall grows by the score's share
-    of positives, and the previous point's precision follows from the prefix sums.  Without
-    positives every recall is 1, which leaves only the curve's last segment.
+    Recall grows by the score's share of positives, and the previous point's precision
+    follows from the prefix sums.  Without positives every recall is 1, which leaves only the
+    curve's last segment.
     """
-    gain = F.when(F.col("pos_total") > 0, F.col("pos") / F.col("pos_total")).otherwise(F.lit(0.0))
+    has_positives = F.col("pos_total") > 0
+    gain = F.when(has_positives, F.col("pos") / F.col("pos_total")).otherwise(F.lit(0.0))
     here = (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))
     before = F.when(F.col("n_before") > 0, F.col("pos_before") / F.col("n_before")).otherwise(F.lit(1.0))
-    sums = table.groupBy(*by).agg(
-        F.sum(gain * here).alias("ap"),
-        F.sum(gain * (here + before) / 2).alias("pr_auc"),
-        F.max("pos_total").alias("_pos"),
-    )
-    return sums.withColumn(
-        "pr_auc", F.when(F.col("_pos") > 0, F.col("pr_auc")).otherwise(F.lit(0.5))
-    ).drop("_pos")
+    area = F.when(F.max("pos_total") > 0, F.sum(gain * (here + before) / 2)).otherwise(F.lit(0.5))
+    return [F.sum(gain * here).alias("ap"), area.alias("pr_auc")]
 
 
-def top_metrics(predictions: DataFrame, table: DataFrame, *, by: Sequence[str] = (),
-                shares: Sequence[float] = SHARES) -> DataFrame:
-    """Precision, lift and recall among the best-scored shares, one row per group."""
-    hits = top_share_hits(predictions, table, shares, by=by)
-    rate = F.col("pos_total") / F.col("n_total")
+def curve_metrics(table: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    return table.groupBy(*by).agg(*_curve_sums())
+
+
+def _wide_tops(hits: DataFrame, by: Sequence[str], shares: Sequence[float]) -> DataFrame:
     scored = hits.withColumns({
         "prec": F.col("tp") / F.col("k"),
-        "lift": safe_ratio(F.col("tp") / F.col("k"), rate),
+        "lift": safe_ratio(F.col("tp") / F.col("k"), F.col("pos_total") / F.col("n_total")),
         "recall": safe_ratio(F.col("tp").cast("double"), F.col("pos_total")),
     })
     return scored.groupBy(*by).agg(*[
@@ -79,16 +77,37 @@ def top_metrics(predictions: DataFrame, table: DataFrame, *, by: Sequence[str] =
     ])
 
 
+def top_hits(predictions: DataFrame, table: DataFrame, *, by: Sequence[str] = (),
+             shares: Sequence[float] = SHARES) -> DataFrame:
+    """Rows and positives among the best-scored shares, one row per group and share."""
+    edges = cut(table.groupBy(*by).agg(F.array(*share_edges(shares)).alias("edges")))
+    return top_share_hits(predictions, edges, by=by)
+
+
+def top_metrics(predictions: DataFrame, table: DataFrame, *, by: Sequence[str] = (),
+                shares: Sequence[float] = SHARES) -> DataFrame:
+    """Precision, lift and recall among the best-scored shares, one row per group."""
+    return _wide_tops(top_hits(predictions, table, by=by, shares=shares), by, shares)
+
+
 def evaluate(predictions: DataFrame, *, by: Sequence[str] = (), max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Every metric as one row per group."""
+    """Every metric as one row per group.
+
+    Loss, curves and the places where the top shares end come out of one pass over the
+    distinct scores; the predictions are read again only for ties at those places.
+    """
     rows, groups = _grouped(predictions.withColumn("p", clip_probability(F.col("p"))), by)
     table = score_table(rows, by=groups, max_rows=max_rows)
-    # Each side has one row per group.
-    result = (
-        loss_metrics(rows, by=groups)
-        .join(curve_metrics(table, by=groups), groups)
-        .join(top_metrics(rows, table, by=groups), groups)
-    )
+    q, pos, n = clip_probability(F.col("p")), F.col("pos"), F.col("n")
+    loss = -(pos * F.ln(q) + (n - pos) * F.ln(F.lit(1.0) - q))
+    # One row per group.
+    sums = cut(table.groupBy(*groups).agg(
+        (F.sum(loss) / F.sum("n")).alias("nll_mean"), (F.sum("pos") / F.sum("n")).alias("base_rate"),
+        *_curve_sums(), F.array(*share_edges(SHARES)).alias("edges"),
+    ))
+    tops = _wide_tops(top_share_hits(rows, sums, by=groups), groups, SHARES)
+    result = sums.withColumn("rce", _rce(F.col("nll_mean"), F.col("base_rate"))).join(
+        F.broadcast(tops), groups)
     return result.select(*by, *METRICS)
 
 

@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import bround_share
 from ..session import SMALL_ROWS, cut
 
 PIECE = "_piece"
@@ -143,31 +144,31 @@ def exact_quantiles(
         F.transform(ordered, lambda s: s["value"]).alias("quantiles"))
 
 
+def share_edges(shares: Sequence[float]) -> list[Column]:
+    """Aggregates over the descending score table: per share, the score where the cut falls."""
+    found = []
+    for share in shares:
+        k = bround_share(share, F.col("n_total"))
+        here = (k > F.col("n_before")) & (k <= F.col("n_before") + F.col("n"))
+        found.append(F.max(F.when(here, F.struct(
+            F.lit(int(round(share * 100))).alias("share"), k.alias("k"), "p", "n", "pos",
+            (k - F.col("n_before")).alias("take"), "pos_before", "n_total", "pos_total",
+        ))))
+    return found
+
+
 def top_share_hits(
-    predictions: DataFrame, table: DataFrame, shares: Sequence[float], *, by: Sequence[str] = (),
+    predictions: DataFrame, edges: DataFrame, *, by: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows ``k`` and positives ``tp`` among the best-scored ``share`` of each group.
+    """Rows ``k`` and positives ``tp`` among the best-scored shares of each group.
 
-    Scores above the cutting score count whole.  Only the rows tied at it are ranked, by
-    the md5 of their id: tied rows are counted per two leading bytes, and row-level ranking
-    is left to the single prefix where the cut falls.
+    ``edges`` has an array ``edges`` of ``share_edges`` per group.  Scores above the cutting
+    score count whole.  Only the rows tied at it are ranked, by the md5 of their id: tied
+    rows are counted per two leading bytes, and row-level ranking is left to the single
+    prefix where the cut falls.
     """
     groups = list(by)
-    wanted = F.array(*[
-        F.struct(
-            F.lit(int(round(s * 100))).alias("share"),
-            F.greatest(F.lit(1), F.bround(F.lit(float(s)) * F.col("n_total"), 0).cast("long"))
-            .alias("k"),
-        ) for s in shares
-    ])
-    edge = cut(table.withColumn("_want", F.explode(F.filter(
-        wanted,
-        lambda s: (s["k"] > F.col("n_before")) & (s["k"] <= F.col("n_before") + F.col("n")),
-    ))).select(
-        *groups, "p", "n", "pos", "pos_before", "n_total", "pos_total",
-        F.col("_want.share").alias("share"), F.col("_want.k").alias("k"),
-        (F.col("_want.k") - F.col("n_before")).alias("take"),
-    ))
+    edge = edges.select(*groups, F.explode("edges").alias("e")).select(*groups, "e.*")
 
     # One row per group and share, so a broadcast of fixed size.
     partial = edge.filter(F.col("take") < F.col("n")).select(*groups, "p", "share", "take")

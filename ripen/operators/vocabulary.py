@@ -14,6 +14,8 @@ from .ranking import prefix_sums
 UNSEEN = -1
 UNSEEN_TEXT = "__MISSING__"
 SALTS = 64
+# Vocabularies up to this many values become a hash set inside the generated code.
+INLINE_VALUES = 500
 
 
 def vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -67,10 +69,19 @@ def map_unseen(
         return df
     vocab = cut(vocabulary(train, columns))
     counted = sizes(vocab)
+    tiny = [c for c in columns if counted.get(c, 0) <= min(INLINE_VALUES, small)]
+    inline: dict[str, list] = {c: [] for c in tiny}
+    if tiny:
+        for row in vocab.filter(F.col("column").isin(*tiny)).collect():
+            inline[row["column"]].append(row["value"])
     order = df.columns
     for c in columns:
+        if c in inline:
+            seen = F.coalesce(F.col(c).isin(sorted(inline[c])), F.lit(False)) if inline[c] else F.lit(False)
+            df = df.withColumn(c, F.when(seen, F.col(c)).otherwise(F.lit(unknown)))
+            continue
         entries = vocab.filter(F.col("column") == c).select("value", F.lit(1).alias("_seen"))
-        df = lookup(df, c, entries, counted.get(c, 0), small=small)
+        df = lookup(df, c, entries, counted[c], small=small)
         df = df.withColumn(c, F.when(F.col("_seen") == 1, F.col(c)).otherwise(F.lit(unknown))).drop("_seen")
     return df.select(*order)
 
@@ -88,8 +99,7 @@ def category_index(train: DataFrame, columns: Sequence[str], *, keep_unseen: boo
     if keep_unseen:
         extra = train.sparkSession.createDataFrame([(c, UNSEEN) for c in columns], "column string, value long")
         vocab = vocab.union(extra).distinct()
-    ones = cut(vocab.withColumn("one", F.lit(1)))
-    ranked = prefix_sums(ones, "value", ["one"], by=["column"])
+    ranked = prefix_sums(cut(vocab.withColumn("one", F.lit(1))), "value", ["one"], by=["column"])
     return ranked.select("column", "value", F.col("one_before").cast("int").alias("index"))
 
 
@@ -99,11 +109,15 @@ def encode_categories(
     columns: Sequence[str],
     *,
     unseen: str = "raise",
+    counted: dict[str, int] | None = None,
     small: int = SMALL_ROWS,
     suffix: str = "_idx",
 ) -> DataFrame:
-    """Add ``{column}_idx``.  ``unseen`` is "raise" (when the row is evaluated) or "zero"."""
-    counted = sizes(index)
+    """Add ``{column}_idx``.  ``unseen`` is "raise" (when the row is evaluated) or "zero".
+
+    ``counted`` are the vocabulary sizes, if they are known already.
+    """
+    counted = sizes(index) if counted is None else counted
     for c in columns:
         fill = UNSEEN if unseen == "raise" else 0
         df = df.withColumn("_key", F.coalesce(F.col(c), F.lit(fill)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from ..operators import delays, history
 from ..operators.conform import EVENT, START
 from ..operators.maturity import add_masks, supervised
-from ..operators.running import find_hot_keys
+from ..operators.running import HotKeys, find_hot_keys
 from ..operators.splits import window_slice
 from ..operators.vocabulary import map_unseen
 from ..session import SMALL_ROWS
@@ -31,10 +31,14 @@ class PreprocessConfig:
     hot_rows: int = 5_000_000
 
 
-def with_history(raw: DataFrame, config: PreprocessConfig) -> DataFrame:
-    """Delay, timestamps and user history of every impression (the intermediate table)."""
+def with_history(raw: DataFrame, config: PreprocessConfig, *, hot: HotKeys | None = None) -> DataFrame:
+    """Delay, timestamps and user history of every impression (the intermediate table).
+
+    ``hot`` are the busy users if they are known already; finding them reads two columns.
+    """
     timed = history.add_delay_and_times(raw, config.log_start_epoch)
-    hot = find_hot_keys(timed, "uid", START, config.hot_rows)
+    if hot is None:
+        hot = find_hot_keys(timed, "uid", START, config.hot_rows)
     return history.add_user_history(timed, hot=hot)
 
 

@@ -135,7 +135,7 @@ def test_metrics_without_positives(spark):
 
 def test_share_rounds_half_to_even_and_takes_at_least_one(spark):
     df = spark.createDataFrame([(i, 1, 0.5) for i in range(50)], "impression_id long, y int, p double")
-    hits = ranking.top_share_hits(df, ranking.score_table(df), (0.05, 0.001)).collect()
+    hits = metrics.top_hits(df, ranking.score_table(df), shares=(0.05, 0.001)).collect()
     assert {(r["share"], r.k) for r in hits} == {(5, 2), (0, 1)}
 
 
