@@ -1,7 +1,7 @@
 """Queries that train models, tune them, or run as streams.
 
-What they return depends on random draws or on floating-point training, so they have no SQL
-twin; tests check them against brute force and planted truth.  Sizes that only cost time
+What trained models return depends on random draws or floating-point training, so they have
+no SQL twin; tests check them against brute force and planted truth.  Sizes that only cost time
 (trees, epochs, layer widths) are set small here and default to the full ones in the library.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import exploded_positions
+from ..functions import epoch_seconds, exploded_positions
 from ..models import ModelSpec, fit_predict
 from ..models.features import fit_one_hot
 from ..models.neural import stratified_holdout
@@ -40,7 +40,8 @@ def holdout(spark, sf_dir):
     rows = splits.train_all(t.prepared(spark, sf_dir)[0], t.FOLD.train_end)
     negative = shift.negative_table(
         shift.observe(rows, t.FOLD.train_end, t.TAU_DAYS), t.FOLD.train_end, t.TAU_DAYS)
-    return stratified_holdout(negative, "s", 0.10, 42).select("impression_id", "s", "is_valid")
+    marked = stratified_holdout(negative, "s", 0.10, 42)
+    return marked.select("impression_id", "s", F.col("is_valid").cast("int").alias("is_valid"))
 
 
 @query
@@ -49,8 +50,8 @@ def one_hot(spark, sf_dir):
 
     rows, clean = t.prepared(spark, sf_dir)
     features = fit_one_hot(splits.train_single(rows, t.FOLD.train_end), clean.categorical, clean.numeric)
-    return features.apply(rows).select(
-        "impression_id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    total = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)
+    return rounded(features.apply(rows).select("impression_id", total.alias("total")))
 
 
 @query
@@ -180,4 +181,4 @@ def stream_buckets(spark, sf_dir):
     rows = t.bucketed(spark, sf_dir).select("timestamp_dt", "bucket")
     target = shared_folder(spark, "counts")
     run_available(bucket_counts_stream(_streamed(spark, rows, "bucketed")), target, shared_folder(spark, "state"))
-    return spark.read.parquet(target)
+    return spark.read.parquet(target).select(epoch_seconds(F.col("day")).alias("day_s"), "bucket_id", "n")

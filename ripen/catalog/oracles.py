@@ -295,6 +295,8 @@ def oracle_sql() -> dict[str, str]:
     fold_columns = ", ".join(f"{_DATE.format(a)} AS {b}" for a, b in (
         ("train_start_s", "train_start"), ("train_end_s", "train_end"),
         ("train_end_s", "test_start"), ("test_end_s", "test_end")))
+    _hot = [f"({c} IN (SELECT {c} FROM tr))::INTEGER" for c in _CATS]
+    _hot += [f"{_scale(c, 'auto')} + ({c} IS NULL)::INTEGER" for c in _NUMS]
     w_obs = (f"CASE WHEN y_obs = 1 THEN 1.0 / {_clip(_sig('z + elapsed / 432000.0'), '1e-6::DOUBLE')} "
              f"ELSE {_clip(_sig('elapsed / 432000.0 - z'), '1e-6::DOUBLE')} END")
     stats = """count(*) AS n_rows, sum(conversion)::BIGINT AS n_conversions,
@@ -416,6 +418,17 @@ bce AS (SELECT head, label, mature * at_risk AS weight, z - 0.5::DOUBLE * head A
 ev AS (SELECT * FROM loss2 JOIN curve USING (fold_id) JOIN tops USING (fold_id))""",
             f"SELECT fold_id::VARCHAR AS fold_id, {_METRICS_R} FROM ev UNION ALL SELECT 'AVG', "
             + ", ".join(_r6(f"avg({m})") for m in _METRICS) + " FROM ev"),
+        "holdout": _q(_OBS, f"""SELECT impression_id, (y_obs = 0)::INTEGER AS s,
+ (cast('0x' || substr(md5('42-holdout:' || ((y_obs = 0)::INTEGER)::VARCHAR || '/' || impression_id::VARCHAR), 1, 8) AS BIGINT)
+  % 10000 < 1000)::INTEGER AS is_valid
+ FROM obs WHERE start_s < {_TRAIN_END - 172800} AND (y_obs = 0 OR coalesce(event_s >= {_TRAIN_END - 172800}, false))"""),
+        "one_hot": _q("", f"SELECT impression_id, {_r6(' + '.join(_hot))} AS total FROM prep"),
+        "head_labels": _q("", "SELECT impression_id, b1, b2, b3, b4, m1, m2, m3, m4 FROM trm"),
+        "stream_labels": _q(f"""wm AS (SELECT least(max(start_s), max(event_s)) - 3600 AS w FROM buck)""",
+                            """SELECT impression_id, conversion, conversion_delay, bucket_id FROM buck
+ WHERE conversion = 1 OR start_s + (SELECT h FROM hz) < (SELECT w FROM wm)"""),
+        "stream_buckets": _q("", """SELECT start_s // 86400 * 86400 AS day_s, bucket_id, count(*) AS n FROM buck
+ WHERE (start_s // 86400 + 1) * 86400 <= (SELECT max(start_s) - 3600 FROM buck) GROUP BY 1, 2"""),
         "candidate_scores": _candidates("avg"),
         "candidate_medians": _candidates("median"),
     }

@@ -17,6 +17,9 @@ from ..functions import bround_share
 from ..session import SMALL_ROWS, cut
 
 PIECE = "_piece"
+# Quantile sketches are merged in one task, so their number of cuts is bounded; pieces then
+# grow in proportion to the data.
+MOST_PIECES = 4096
 
 
 def cut_points(df: DataFrame, column: str, cuts: Sequence[float], output: str) -> DataFrame:
@@ -54,9 +57,9 @@ def prefix_sums(
             f"{m}_before": F.coalesce(F.sum(m).over(window), F.lit(0)) for m in measures
         })
 
-    pieces = 4 * -(-n // max_rows)
+    pieces = min(MOST_PIECES, 4 * -(-n // max_rows))
     cuts = df.agg(F.percentile_approx(
-        F.col(column).cast("double"), [i / pieces for i in range(1, pieces)], 10 * pieces
+        F.col(column).cast("double"), [i / pieces for i in range(1, pieces)], 4 * pieces
     )).first()[0]
     cut_df = cut_points(df.withColumn("_x", F.col(column).cast("double")), "_x", cuts, PIECE).drop("_x")
     totals = cut_df.groupBy(*groups, PIECE).agg(*[F.sum(m).alias(m) for m in measures])

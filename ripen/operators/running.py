@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import cut_points
+from .ranking import MOST_PIECES, cut_points
 
 SLICE = "_slice"
 
@@ -80,13 +80,13 @@ def find_hot_keys(df: DataFrame, key: str, time: str, max_rows: int = 5_000_000)
     for bits, members in sorted(classes.items()):
         # Keys of similar size share one number of slices, so that cuts stay in
         # proportion to rows.
-        pieces = 2 ** (bits + 1)
+        pieces = min(MOST_PIECES, 2 ** (bits + 1))
         found = (
             df.select(key, time)
             .join(F.broadcast(spark.createDataFrame(members, schema=schema)), key)
             .groupBy(key)
             .agg(F.percentile_approx(
-                _line(time), [i / pieces for i in range(1, pieces)], 10 * pieces
+                _line(time), [i / pieces for i in range(1, pieces)], 4 * pieces
             ).alias("cuts"))
             .collect()
         )
