@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clip_probability, safe_ratio
-from ..session import SMALL_ROWS, cut
+from ..session import SMALL_ROWS, cut, small_side
 from .ranking import exact_quantiles, score_table, share_edges, top_share_hits
 
 SHARES = (0.05, 0.10, 0.20)
@@ -107,7 +107,7 @@ def evaluate(predictions: DataFrame, *, by: Sequence[str] = (), max_rows: int =
     ))
     tops = _wide_tops(top_share_hits(rows, sums, by=groups), groups, SHARES)
     result = sums.withColumn("rce", _rce(F.col("nll_mean"), F.col("base_rate"))).join(
-        F.broadcast(tops), groups)
+        small_side(tops, sums.count()), groups)
     return result.select(*by, *METRICS)
 
 
@@ -116,11 +116,11 @@ def reliability(predictions: DataFrame, *, by: Sequence[str] = (), n_bins: int =
     """Mean prediction and outcome per quantile bin (equal edges merged, right-closed)."""
     rows, groups = _grouped(predictions, by)
     shares = [i / n_bins for i in range(n_bins + 1)]
-    edges = exact_quantiles(rows, shares, by=groups, max_rows=max_rows).withColumn(
+    edges = cut(exact_quantiles(rows, shares, by=groups, max_rows=max_rows).withColumn(
         "edges", F.array_distinct("quantiles")
-    ).select(*groups, F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0))).alias("inner"))
+    ).select(*groups, F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0))).alias("inner")))
     # One row of at most ``n_bins`` edges per group.
-    binned = rows.join(F.broadcast(edges), groups).withColumn(
+    binned = rows.join(small_side(edges, edges.count()), groups).withColumn(
         "bin", F.size(F.filter("inner", lambda e: e < F.col("p")))
     )
     out = binned.groupBy(*groups, "bin").agg(
@@ -144,16 +144,16 @@ def box_stats(predictions: DataFrame, *, label: str = "y", by: Sequence[str] = (
     """Box-plot numbers of the prediction per label value: quartiles and 1.5-IQR whiskers."""
     groups = [*by, label]
     rows = predictions.withColumn("_label", F.col(label))
-    quartiles = exact_quantiles(rows, (0.25, 0.5, 0.75), by=groups, label="_label",
-                                max_rows=max_rows).select(
+    quartiles = cut(exact_quantiles(rows, (0.25, 0.5, 0.75), by=groups, label="_label",
+                                    max_rows=max_rows).select(
         *groups, *[F.element_at("quantiles", i).alias(q) for i, q in ((1, "q1"), (2, "median"), (3, "q3"))]
-    )
+    ))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside_low = F.when(F.col("p") >= F.col("q1") - reach, F.col("p"))
     inside_high = F.when(F.col("p") <= F.col("q3") + reach, F.col("p"))
     # One row per label value and group.
     return (
-        rows.join(F.broadcast(quartiles), groups)
+        rows.join(small_side(quartiles, quartiles.count()), groups)
         .groupBy(*groups, "q1", "median", "q3")
         .agg(
             F.count(F.lit(1)).alias("n"),

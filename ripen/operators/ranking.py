@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bround_share
-from ..session import SMALL_ROWS, cut
+from ..session import SMALL_ROWS, cut, small_side
 
 PIECE = "_piece"
 # Quantile sketches are merged in one task, so their number of cuts is bounded; pieces then
@@ -32,6 +32,13 @@ def cut_points(df: DataFrame, column: str, cuts: Sequence[float], output: str) -
     return bucketed.withColumn(output, F.col(output).cast("int"))
 
 
+def measure(df: DataFrame, groups: Sequence[str] = ()) -> tuple[int, int]:
+    """Rows and (approximate) groups."""
+    count = F.approx_count_distinct(F.struct(*groups)) if groups else F.lit(1)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(count) if not groups else count).first()
+    return row[0], row[1] or 0
+
+
 def prefix_sums(
     df: DataFrame,
     column: str,
@@ -40,17 +47,19 @@ def prefix_sums(
     by: Sequence[str] = (),
     descending: bool = False,
     max_rows: int = SMALL_ROWS,
+    size: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Exclusive prefix sums ``{measure}_before`` in the order of ``column``.
 
     ``column`` must be numeric and unique within ``by``: callers aggregate to distinct
     values first, which also folds any heavily repeated value into one row.  Up to
-    ``max_rows`` rows (counted) a window per group is enough.
+    ``max_rows`` rows (counted, or given with the groups as ``size``) a window per group is
+    enough.
     """
     direction = F.col(column).desc() if descending else F.col(column).asc()
     frame = (Window.unboundedPreceding, -1)
     groups = list(by)
-    n = df.count()
+    n, n_groups = size or measure(df, groups)
     if n <= max_rows:
         window = Window.partitionBy(*(groups or [F.lit(1)])).orderBy(direction).rowsBetween(*frame)
         return df.withColumns({
@@ -70,9 +79,9 @@ def prefix_sums(
     )
     inside = Window.partitionBy(*groups, PIECE).orderBy(direction).rowsBetween(*frame)
     local = cut_df.withColumns({f"{m}_before": F.sum(m).over(inside) for m in measures})
-    # ``carried`` has at most groups x pieces rows.
+    # ``carried`` has at most groups x pieces rows; ``local`` is partitioned by the join keys.
     return (
-        local.join(F.broadcast(carried), [*groups, PIECE], "left")
+        local.join(small_side(carried, n_groups * pieces), [*groups, PIECE], "left")
         .withColumns({
             f"{m}_before": F.coalesce(F.col(f"{m}_before"), F.lit(0))
             + F.coalesce(F.col(f"_carry_{m}"), F.lit(0))
@@ -95,13 +104,13 @@ def score_table(
     distinct = cut(predictions.groupBy(*groups, F.col(score).alias("p")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")
     ))
+    size = measure(distinct, groups)
     table = prefix_sums(distinct, "p", ["n", "pos"], by=groups, descending=descending,
-                        max_rows=max_rows)
+                        max_rows=max_rows, size=size)
     if groups:
         totals = distinct.groupBy(*groups).agg(
             F.sum("n").alias("n_total"), F.sum("pos").alias("pos_total"))
-        # One row per group (fold, model).
-        return table.join(F.broadcast(totals), groups)
+        return table.join(small_side(totals, size[1]), groups)
     total = distinct.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).first()
     return table.withColumns({
         "n_total": F.lit(total["n"]).cast("long"), "pos_total": F.lit(total["pos"]).cast("long"),
@@ -165,19 +174,18 @@ def top_share_hits(
 ) -> DataFrame:
     """Rows ``k`` and positives ``tp`` among the best-scored shares of each group.
 
-    ``edges`` has an array ``edges`` of ``share_edges`` per group.  Scores above the cutting
+    ``edges`` (materialised) has an array ``edges`` of ``share_edges`` per group.  Scores above the cutting
     score count whole.  Only the rows tied at it are ranked, by the md5 of their id: tied
     rows are counted per two leading bytes, and row-level ranking is left to the single
     prefix where the cut falls.
     """
     groups = list(by)
     edge = edges.select(*groups, F.explode("edges").alias("e")).select(*groups, "e.*")
-
-    # One row per group and share, so a broadcast of fixed size.
+    n_edges = edge.count()  # groups x shares
     partial = edge.filter(F.col("take") < F.col("n")).select(*groups, "p", "share", "take")
     digest = F.md5(F.col("impression_id").cast("string"))
     tied = (
-        predictions.withColumnRenamed("y", "_y").join(F.broadcast(partial), [*groups, "p"])
+        predictions.withColumnRenamed("y", "_y").join(small_side(partial, n_edges), [*groups, "p"])
         .select(*groups, "share", "take", "_y", digest.alias("digest"))
         .withColumn("head", F.substring("digest", 1, 4))
     )
@@ -190,13 +198,13 @@ def top_share_hits(
         "pos_before": F.coalesce(F.sum("pos").over(over_heads), F.lit(0)),
     }).filter((F.col("take") > F.col("n_before")) & (F.col("take") <= F.col("n_before") + F.col("n")))
     cut_heads = heads.select(*keys, "head", "pos_before", (F.col("take") - F.col("n_before")).alias("rest"))
-    ranked = tied.join(F.broadcast(cut_heads), [*keys, "head"]).withColumn(
+    ranked = tied.join(small_side(cut_heads, n_edges), [*keys, "head"]).withColumn(
         "rank", F.row_number().over(Window.partitionBy(*keys).orderBy("digest")))
     tied_hits = ranked.groupBy(*keys).agg(
         (F.max("pos_before") + F.sum(F.when(F.col("rank") <= F.col("rest"), F.col("_y")).otherwise(0)))
         .alias("tied_hits"))
     return (
-        edge.join(F.broadcast(tied_hits), keys, "left")
+        edge.join(small_side(tied_hits, n_edges), keys, "left")
         .withColumn("tp", F.col("pos_before") + F.coalesce("tied_hits", "pos"))
         .select(*keys, "k", "tp", "n_total", "pos_total")
     )

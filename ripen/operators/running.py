@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import SMALL_ROWS
 from .ranking import MOST_PIECES, cut_points
 
 SLICE = "_slice"
@@ -64,6 +65,9 @@ def find_hot_keys(df: DataFrame, key: str, time: str, max_rows: int = 5_000_000)
     )
     if not counts:
         return HotKeys(None)
+    rows_in = sum(row["n"] for row in counts)
+    if len(counts) + 4 * rows_in // max_rows > SMALL_ROWS:
+        raise ValueError(f"{len(counts)} busy keys are too many to broadcast: raise max_rows={max_rows}.")
     schema = T.StructType([
         T.StructField(key, df.schema[key].dataType),
         T.StructField("_place", T.DoubleType()),

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Datasets up to this many rows may be broadcast or ranked inside one task; everything
 # larger goes through a shuffle or a split.  Always compared with a measured count.
@@ -45,6 +46,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("Set spark.checkpoint.dir to a folder all executors can reach.")
 
 
+def small_side(df: DataFrame, n_rows: int) -> DataFrame:
+    """``df`` marked for broadcast if its measured size allows; otherwise left to a shuffle."""
+    return F.broadcast(df) if n_rows <= SMALL_ROWS else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder.
 
