@@ -295,6 +295,8 @@ def oracle_sql() -> dict[str, str]:
     fold_columns = ", ".join(f"{_DATE.format(a)} AS {b}" for a, b in (
         ("train_start_s", "train_start"), ("train_end_s", "train_end"),
         ("train_end_s", "test_start"), ("test_end_s", "test_end")))
+    asof = _q("", """SELECT a.impression_id, count(b.impression_id) AS n_known_conversions
+ FROM timed a LEFT JOIN timed b ON a.uid = b.uid AND b.conversion = 1 AND b.event_s < a.start_s GROUP BY 1""")
     _hot = [f"({c} IN (SELECT {c} FROM tr))::INTEGER" for c in _CATS]
     _hot += [f"{_scale(c, 'auto')} + ({c} IS NULL)::INTEGER" for c in _NUMS]
     w_obs = (f"CASE WHEN y_obs = 1 THEN 1.0 / {_clip(_sig('z + elapsed / 432000.0'), '1e-6::DOUBLE')} "
@@ -310,8 +312,8 @@ def oracle_sql() -> dict[str, str]:
  {_DATE.format('start_s + 15 * 86400')} AS plus_15_days, {_DATE.format('start_s - 86400')} AS minus_1_day FROM timed"""),
         "user_features": _q("", f"SELECT {_FEATURES} FROM hist"),
         "user_features_split": _q("", f"SELECT {_FEATURES} FROM hist"),
-        "user_features_asof": _q("", """SELECT a.impression_id, count(b.impression_id) AS n_known_conversions
- FROM timed a LEFT JOIN timed b ON a.uid = b.uid AND b.conversion = 1 AND b.event_s < a.start_s GROUP BY 1"""),
+        "user_features_asof": asof,
+        "user_features_asof_split": asof,
         "content_ids": _q("", """SELECT impression_id,
  sha256(uid::VARCHAR || chr(1) || "timestamp"::VARCHAR || chr(1) || cat1::VARCHAR) AS row_key FROM raw"""),
         "late_cutoff": _q("", "SELECT impression_id, conversion, conversion_delay FROM kept"),

@@ -97,8 +97,20 @@ def user_features_split(spark, sf_dir):
 
 @query
 def user_features_asof(spark, sf_dir):
-    timed = history.add_delay_and_times(t.raw(spark, sf_dir), LOG_START_EPOCH)
-    return history.add_known_conversions(timed).select("impression_id", "n_known_conversions")
+    return _known(spark, sf_dir, t.CONFIG.hot_rows)
+
+
+@query
+def user_features_asof_split(spark, sf_dir):
+    """The same count with every busy user cut into time slices."""
+    return _known(spark, sf_dir, 20)
+
+
+def _known(spark, sf_dir, hot_rows):
+    events = t.read_events(t.prepare_session(spark), sf_dir)
+    hot = t.hot_users(events, hot_rows)
+    timed = history.add_delay_and_times(t.raw_impressions(events, hot=hot), LOG_START_EPOCH)
+    return history.add_known_conversions(timed, hot=hot).select("impression_id", "n_known_conversions")
 
 
 @query
