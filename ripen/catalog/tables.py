@@ -13,7 +13,7 @@ from ..operators.conform import Conformed, conform
 from ..operators.running import HotKeys, find_hot_keys
 from ..plans.folds import Fold
 from ..plans.prepare import PreprocessConfig, prepare_fold, with_buckets, with_history
-from ..session import cut, prepare_session
+from ..session import prepare_session, store
 from ..sources.events import IMPRESSION_TYPES, LOG_START_EPOCH, raw_impressions, read_events
 
 CONFIG = PreprocessConfig(log_start_epoch=LOG_START_EPOCH)
@@ -46,7 +46,7 @@ def history(spark: SparkSession, sf_dir: str, *, hot_rows: int = CONFIG.hot_rows
 def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The preprocessed rows; the intermediate table is written once, as later stages scan it
     several times (horizon, cut-offs, vocabularies)."""
-    return with_buckets(cut(history(spark, sf_dir)), CONFIG, sample=False)
+    return with_buckets(store(history(spark, sf_dir)), CONFIG, sample=False)
 
 
 def conformed(spark: SparkSession, sf_dir: str) -> Conformed:
@@ -57,7 +57,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Conformed]:
     """The first outer fold, ready for splitting; written once, as its readers take several
     splits of it."""
     clean = conformed(spark, sf_dir)
-    return cut(prepare_fold(clean.rows, FOLD, clean.cuts, clean.categorical)), clean
+    return store(prepare_fold(clean.rows, FOLD, clean.cuts, clean.categorical)), clean
 
 
 def formula_logit():
@@ -86,4 +86,4 @@ def scored(rows: DataFrame) -> DataFrame:
 def materialised(spark: SparkSession, sf_dir: str) -> Conformed:
     """The conformed rows written once, as an experiment reads them fold after fold."""
     clean = conformed(spark, sf_dir)
-    return replace(clean, rows=cut(clean.rows))
+    return replace(clean, rows=store(clean.rows))

@@ -12,7 +12,7 @@ from ..operators.calibration import hazard_logit
 from ..operators.conform import HEADS, TARGET
 from ..operators.maturity import MASK_TRAIN
 from ..plans.folds import Fold
-from ..session import cut
+from ..session import cut, store
 from ..sources.tables import present
 from .common import ModelSpec, Outcome, finish, late_splits, probability_of_one
 from .features import DenseEncoder, dense_vector, fit_dense
@@ -71,7 +71,7 @@ def _encoded(rows: DataFrame, train: DataFrame, spec: ModelSpec, unseen: str) ->
     """All rows of the fold encoded once with what ``train`` shows; the splits are filters
     over them."""
     encoder = _encoder(train, spec, unseen)
-    return cut(encoder.apply(rows)), encoder
+    return store(encoder.apply(rows)), encoder
 
 
 def _heads_outcome(fitted: Fitted, cal, test, spec: ModelSpec) -> Outcome:

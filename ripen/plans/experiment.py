@@ -16,7 +16,7 @@ from ..operators import metrics
 from ..operators.conform import Conformed
 from ..operators.delays import time_span
 from ..operators.maturity import mask_stats
-from ..session import cut
+from ..session import drop_stored, store, stored_mark
 from ..sources.tables import write_table
 from .folds import Fold, outer_folds
 from .prepare import prepare_fold
@@ -86,7 +86,7 @@ def run_fold(clean: Conformed, fold: Fold, config: ExperimentConfig,
              previous: Search | None = None) -> FoldResult:
     """One outer fold.  Its prepared rows are written once; tuning starts from the unprepared
     rows, because categories unseen in an inner fold depend on that fold alone."""
-    prepared = cut(prepare_fold(clean.rows, fold, clean.cuts, clean.categorical, aux=config.aux))
+    prepared = store(prepare_fold(clean.rows, fold, clean.cuts, clean.categorical, aux=config.aux))
     params, search = dict(config.params), None
     if config.tune:
         scorer = Scorer(clean.rows, fold, clean.cuts, spec_for(clean, config, params), config.model,
@@ -110,11 +110,13 @@ def run_experiment(clean: Conformed, config: ExperimentConfig) -> Report:
         raise ValueError(f"Unknown model '{config.model}'. Choose from {sorted(MODELS)}.")
     results: list[FoldResult] = []
     previous = None
+    spark = clean.rows.sparkSession
     for fold in plan_folds(clean, config):
+        mark = stored_mark()
         result = run_fold(clean, fold, config, previous)
+        drop_stored(spark, mark)  # predictions are kept on their own
         results.append(result)
         previous = result.search
-    spark = clean.rows.sparkSession
     columns = ", ".join(f"{m} double" for m in metrics.METRICS)
     rows = [(r.fold.fold_id, *(float(r.metrics[m]) for m in metrics.METRICS)) for r in results]
     per_fold = spark.createDataFrame(rows, f"fold_id int, {columns}")

@@ -13,7 +13,7 @@ from ..operators.maturity import add_masks, supervised
 from ..operators.running import HotKeys, find_hot_keys
 from ..operators.splits import window_slice
 from ..operators.vocabulary import map_unseen
-from ..session import SMALL_ROWS, cut
+from ..session import SMALL_ROWS, store
 from .folds import Fold
 
 
@@ -40,7 +40,7 @@ def with_history(raw: DataFrame, config: PreprocessConfig, *, hot: HotKeys | Non
     if hot is None:
         hot = find_hot_keys(timed, "uid", START, config.hot_rows)
     if hot.places is not None:
-        timed = cut(timed)  # slicing reads its input twice
+        timed = store(timed)  # slicing reads its input twice
     return history.add_user_history(timed, hot=hot)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..models import ModelSpec, fit_predict
 from ..operators.metrics import candidate_scores, loss_metrics
-from ..session import cut
+from ..session import store
 from .folds import Fold, inner_folds
 from .prepare import prepare_fold
 
@@ -101,7 +101,7 @@ class Scorer:
         self.spark: SparkSession = rows.sparkSession
         self.model, self.spec, self.how, self.threads = model, spec, how, threads
         self.folds = [
-            (fold, cut(prepare_fold(rows, fold, cuts, spec.categorical, aux=spec.aux)))
+            (fold, store(prepare_fold(rows, fold, cuts, spec.categorical, aux=spec.aux)))
             for fold in inner_folds(outer, lengths)
         ]
         if not self.folds:

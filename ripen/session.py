@@ -61,6 +61,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STORED: list[str] = []
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    For wide rows that several jobs read in part: unlike a checkpoint, the table is columnar,
+    so each job reads its columns and row groups only.  Row order is not kept.
+    """
+    folder = shared_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    _STORED.append(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def stored_mark() -> int:
+    return len(_STORED)
+
+
+def drop_stored(spark: SparkSession, mark: int) -> None:
+    """Delete the tables stored since ``mark``."""
+    context = spark.sparkContext
+    while len(_STORED) > mark:
+        path = context._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder next to the checkpoints, reachable by all executors."""
     ensure_checkpoint_dir(spark)

@@ -96,3 +96,29 @@ def test_renames_and_missing_columns(spark):
     assert rename_columns(df, {"seen_at": "timestamp_dt"}).columns == ["timestamp_dt"]
     with pytest.raises(ValueError, match="Missing"):
         rename_columns(df, {"other": "x"})
+
+
+def test_stored_tables_are_pruned_and_dropped(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from ripen.session import drop_stored, store, stored_mark
+
+    mark = stored_mark()
+    kept = store(spark.range(100).select("id", (F.col("id") * 2).alias("a"), F.array("id").alias("b")))
+    plan = kept.filter("id > 90").select("a")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint,a:bigint>" in plan and "GreaterThan(id,90)" in plan
+    folder = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    drop_stored(spark, mark)
+    assert not os.path.isdir(folder) and stored_mark() == mark
+
+
+def test_a_session_names_its_checkpoint_folder(spark):
+    from ripen.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    first = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    ensure_checkpoint_dir(spark)
+    assert spark.sparkContext._jsc.sc().getCheckpointDir().get() == first
