@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,28 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 1_000_000
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that their Python workers can
+    import it wherever the driver was started and however it was installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_ripen_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="ripen-package-"), "ripen_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._ripen_shipped = True
+
+
 def prepare_session(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings that day floors, epoch seconds and re-planning rely on."""
+    """Pin the runtime settings that day floors, epoch seconds and re-planning rely on, and make
+    the package known to the workers."""
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
