@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import mixing, phrases, quality
 from .oracles import ORACLES
 
 BASE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -15,11 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized, cuts = mixing.fit_mix(table(spark, sf_dir, "documents"))
+    return mixing.apply_mix(sized, cuts).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *BASE_COUNTS, "base_failed", "kept")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = phrases.cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed",
+                      F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries():
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
