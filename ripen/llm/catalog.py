@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, phrases, quality, token_files
+from . import jaccard, lengths, masked_lm, mixing, packing, phrases, quality, token_files
 from .oracles import ORACLES
 
 BASE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_masked_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = masked_lm.score(table(spark, sf_dir, "documents"))
+    return scored.select(F.col("id").alias("doc_id"), "n_words", "log_prob",
+                         (F.col("log_prob") / F.greatest("n_words", F.lit(1))).alias("log_prob_per_word"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, cuts = mixing.fit_mix(table(spark, sf_dir, "documents"))
     return mixing.apply_mix(sized, cuts).select("doc_id", "size", "source_size", "target", "taken")
@@ -46,6 +52,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.limit_totals(lengths.length_histogram(table(spark, sf_dir, "documents")))
+
+
 def queries():
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
