@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lengths, masked_lm, mixing, packing, phrases, quality, token_files
+from . import jaccard, lengths, masked_lm, mixing, packing, phrases, quality, suffixes, token_files
 from .oracles import ORACLES
 
 BASE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -56,6 +56,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limit_totals(lengths.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.cut_recurring(table(spark, sf_dir, "documents"))
+    return cut.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries():
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
