@@ -1,10 +1,57 @@
-"""Five stages from raw documents to packed sequences."""
+"""From raw documents to packed training sequences, in five stages.
+
+A stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
+columns of documents.  ``run`` stores what a stage returns and reads it back for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from ripen.llm import jaccard, mixing, packing, phrases, quality
+from ripen.session import prepare_session, store
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or a certified cutoff rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays; links are on five-word shingles, at a similarity of 0.8 or more."""
+    return jaccard.one_per_group(docs, width=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 20 words and more stay in the first document that has them."""
+    return phrases.without_repeats(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by weight, in repeats where the weight asks for more than there is."""
+    return mixing.mix(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mixed_sources", mixed_sources),
+    ("packed_sequences", packed_sequences),
+]
+
+# Token ids, automata and shingle sets are beyond SQL; the tests run the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare_session(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
