@@ -27,6 +27,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,10 @@ POSTING_COST = 4
 #: No boundary beyond this is tried: subsets grow with a power of the size.
 LARGEST_LIGHT = 40
 LIST_BLOCK = 2048
+#: In place of a token range: the id of a class of equal sets.
+REPRESENTATIVE = -2
+#: Bytes of text per token range.
+RANGE_BYTES = 8_000_000
 LISTED = ("kind int, token long, two long, low int, high int, id long, size int, parts binary, prefix binary")
 
 
@@ -129,8 +134,8 @@ def _subset_rows(own: np.ndarray, percent: int, light: int):
 def _listed(width: int, percent: int, light: int, n_ranges: int, schema: pa.Schema):
     def listed(docs: pa.Table, told: pa.Table) -> pa.Table:
         reps = {int.from_bytes(k, "big", signed=True)
-                for r, k in zip(told.column("r").to_pylist(), told.column("keys").to_pylist()) if r < 0}
-        known, classes = known_keys(told.filter(pa.compute.greater_equal(told.column("r"), 0)))
+                for r, k in zip(told.column("r").to_pylist(), told.column("keys").to_pylist()) if r == REPRESENTATIVE}
+        known, classes = known_keys(told.filter(pc.not_equal(told.column("r"), REPRESENTATIVE)))
         texts = {}  # of repeated rows of a representative's id, the one with a set of its class is enough
         for i, t in zip(docs.column("id").to_pylist(), docs.column("text").cast(pa.binary()).to_pylist()):
             i = LAST_ID if i is None else i
@@ -231,7 +236,7 @@ def link_documents(docs: DataFrame, *, width: int = 3, percent: int = 90, id_col
     spark = prepare_session(docs.sparkSession)
     size = total_bytes(docs, text_col)
     n_buckets = count_for(docs, size, bucket_bytes)
-    n_ranges = count_for(docs, size, bucket_bytes)
+    n_ranges = count_for(docs, size, RANGE_BYTES)
     texts = docs.select(
         bucket_of(id_col, n_buckets).alias("bucket"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"),
         F.col(text_col).cast("string").alias("text"))
@@ -242,7 +247,7 @@ def link_documents(docs: DataFrame, *, width: int = 3, percent: int = 90, id_col
     light = boundary(histogram, 0, percent)
 
     known = recurring_tokens(texts, _shingle_tokens(width), n_buckets, n_ranges)
-    reps = classes.select(F.lit(-1).alias("r"), bucket_of("class_id", n_buckets).alias("bucket"),
+    reps = classes.select(F.lit(REPRESENTATIVE).alias("r"), bucket_of("class_id", n_buckets).alias("bucket"),
                           F.unhex(F.lpad(F.hex("class_id"), 16, "0")).alias("keys"), F.lit(None).cast("binary").alias("classes"))
     schema = pa.schema([("kind", pa.int32()), ("token", pa.int64()), ("two", pa.int64()), ("low", pa.int32()), ("high", pa.int32()),
                         ("id", pa.int64()), ("size", pa.int32()), ("parts", pa.binary()), ("prefix", pa.binary())])

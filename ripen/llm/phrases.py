@@ -7,8 +7,9 @@ starts earlier (in a smaller id, or earlier in the same document); windows are j
    only recur if its anchor does, so anchors, about a seventh of the words, are counted first.
 2. Confirmation: windows with recurring anchors are compared by 128-bit hashes in hash ranges; of those that
    recur, each bucket of documents learns its own first place, and whether that is the first of all.
-3. Automata: a bucket compiles the recurring windows it holds into Aho-Corasick automata over its words,
-   sharded so that each holds a bounded number of phrases, and streams its documents through them.  Every
+3. Automata: a bucket compiles the phrases at the anchors of the recurring windows it holds into Aho-Corasick
+   automata over its words, sharded so that each holds a bounded number of phrases, and streams its documents
+   through them.  Windows around every occurrence are looked up among the recurring ones by their hashes; every
    occurrence but the first of all is cut.
 
 Null texts have no words; documents shorter than a window lose nothing.  A null id counts as the largest.
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..session import prepare_session
@@ -33,8 +35,8 @@ from .recurring import (
 )
 from .wordhash import ONE, OTHER, owners, rolled, sliding, word_hashes
 
-PHRASES_PER_AUTOMATON = 50_000
-_FIRST_CODE, _OTHER_WORD = 0xE000, "\x01"
+PHRASES_PER_AUTOMATON = 30_000
+_BASE, _FIRST_CODE, _OTHER_WORD = 64, 0x100, "\x01\x01\x01"
 BYTES_PER_RANGE = 12_000_000
 WINDOWS = "place int, bucket int, one binary, two binary, id binary, at binary, often binary"
 PHRASES = "bucket int, id binary, at binary, first binary"
@@ -138,53 +140,109 @@ def _confirm(table: pa.Table) -> pa.Table:
                      "id": blob(ids), "at": blob(at), "first": blob(first)})
 
 
-def locate(words: list[list[bytes]], phrases: list[tuple[int, int, bool]], width: int,
-           per_automaton: int = PHRASES_PER_AUTOMATON) -> Iterator[tuple[int, int]]:
-    """(document, first word) of every occurrence of the phrases, but for first places so marked.
+def locate(words: list[list[bytes]], phrases: list[tuple[int, int]], width: int,
+           per_automaton: int = PHRASES_PER_AUTOMATON) -> Iterator[tuple[int, np.ndarray]]:
+    """(document, first words) of every occurrence of the phrases, each ``width`` words of a document from a place on.
 
-    A phrase is ``width`` words of a document from a place on.  Automata see a word as one character.
+    Automata see a word as three characters, each place with an alphabet of its own: nodes have few branches,
+    and a match starts at a word.
     """
-    for begin in range(0, len(phrases), per_automaton):
+    at = 0
+    while at < len(phrases):
         codes: dict[bytes, str] = {}
         automaton = ahocorasick.Automaton()
-        for doc, at, is_first in phrases[begin:begin + per_automaton]:
-            coded = "".join([codes.setdefault(w, chr(_FIRST_CODE + len(codes))) for w in words[doc][at:at + width]])
-            automaton.add_word(coded, (doc, at) if is_first else None)
+        n_added = 0
+        while at < len(phrases) and n_added < per_automaton and len(codes) + width <= _BASE**3:
+            doc, place = phrases[at]
+            coded = "".join([codes.setdefault(w, _code(len(codes))) for w in words[doc][place:place + width]])
+            automaton.add_word(coded, True)
+            at += 1
+            n_added += 1
         automaton.make_automaton()
         for doc, own in enumerate(words):
-            if len(own) < width:
-                continue
-            coded = "".join([codes.get(w, _OTHER_WORD) for w in own])
-            for end, first in automaton.iter(coded):
-                start = end - width + 1
-                if first != (doc, start):
-                    yield doc, start
+            if len(own) >= width:
+                coded = "".join([codes.get(w, _OTHER_WORD) for w in own])
+                ends = [end for end, _ in automaton.iter(coded)]
+                if ends:
+                    yield doc, np.array(ends, np.int64) // 3 - (width - 1)
+
+
+def _code(number: int) -> str:
+    high, low = divmod(number, _BASE)
+    high, middle = divmod(high, _BASE)
+    return chr(_FIRST_CODE + high) + chr(_FIRST_CODE + _BASE + middle) + chr(_FIRST_CODE + 2 * _BASE + low)
+
 
+def repeated(words: list[list[bytes]], found: list[tuple[int, int, bool]], width: int, gram: int,
+             per_automaton: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts, in the concatenation of the documents, of windows to cut; and where documents begin.
 
-def _cut(width: int, schema: pa.Schema, per_automaton: int):
+    ``found``: the first place in these documents of each recurring window, and whether it is the first of all.
+    """
+    lengths = np.array([len(w) for w in words], np.int64)
+    begins = np.concatenate(([0], np.cumsum(lengths)))
+    if not found:
+        return np.empty(0, np.int64), begins
+    docs, places, firsts = (np.array(x) for x in zip(*found))
+    starts = begins[docs] + places
+    hashes = word_hashes(words)
+    one, two = rolled(hashes, width, ONE), rolled(word_hashes(words, seed=1), width, OTHER)
+    grams = rolled(hashes, gram, ONE)
+    span = width - gram + 1
+    # Phrases: the grams that stand for the recurring windows, each distinct one once.
+    least = np.zeros(len(grams) + span - 1, np.uint64)
+    least[span - 1 + starts] = sliding(grams, span)[starts]
+    anchors = np.flatnonzero(sliding(least, span, np.maximum)[:len(grams)] == grams)
+    anchors = anchors[np.unique(grams[anchors], return_index=True)[1]]
+    doc_of = np.searchsorted(begins, anchors, side="right") - 1
+    near = np.zeros(len(hashes) + 1, np.int32)
+    for doc, at in locate(words, list(zip(doc_of.tolist(), (anchors - begins[doc_of]).tolist())), gram, per_automaton):
+        low = np.maximum(at - (span - 1), 0)
+        high = np.minimum(at, lengths[doc] - width)
+        some = high >= low
+        np.add.at(near, begins[doc] + low[some], 1)
+        np.add.at(near, begins[doc] + high[some] + 1, -1)
+    near = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+    order = np.lexsort((two[starts], one[starts]))
+    known_one, known_two, known_start, known_first = one[starts][order], two[starts][order], starts[order], firsts[order]
+    hit, at = look_up(one[near], known_one)
+    # Windows that agree in the first hash alone lie next to each other: step to the one that agrees in both.
+    while True:
+        wrong = hit & (known_two[at] != two[near])
+        if not wrong.any():
+            break
+        step = at[wrong] + 1
+        rows = np.flatnonzero(wrong)
+        going = (step < len(known_one)) & (known_one[np.minimum(step, len(known_one) - 1)] == one[near[rows]])
+        at[rows[going]] = step[going]
+        hit[rows[~going]] = False
+    near, at = near[hit], at[hit]
+    return near[~(known_first[at] & (known_start[at] == near))], begins
+
+
+def _cut(width: int, gram: int, schema: pa.Schema, per_automaton: int):
     def cut(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
         order, _, texts = in_order(docs)
         words = [t.split() for t in texts]
-        phrases = []
+        told = []
         for at, first in zip(found.column("at").to_pylist(), found.column("first").to_pylist()):
             at = np.frombuffer(at, np.int64)
-            phrases += zip((at >> 32).tolist(), (at & 0xFFFFFFFF).tolist(), np.frombuffer(first, np.bool_).tolist())
-        steps = [None] * len(words)
-        for doc, start in locate(words, phrases, width, per_automaton):
-            if steps[doc] is None:
-                steps[doc] = np.zeros(len(words[doc]) + 1, np.int32)
-            steps[doc][start] += 1
-            steps[doc][start + width] -= 1
+            told += zip((at >> 32).tolist(), (at & 0xFFFFFFFF).tolist(), np.frombuffer(first, np.bool_).tolist())
+        starts, begins = repeated(words, told, width, gram, per_automaton)
+        step = np.zeros(int(begins[-1]) + 1, np.int32)
+        np.add.at(step, starts, 1)
+        np.add.at(step, starts + width, -1)
+        all_gone = np.cumsum(step[:-1]) > 0
         n_removed, kept_text, spans = [], [], []
-        for own, step in zip(words, steps):
-            if step is None:
+        for own, begin in zip(words, begins.tolist()):
+            gone = all_gone[begin:begin + len(own)]
+            if not gone.any():
                 n_removed.append(0)
                 kept_text.append(b" ".join(own))
                 spans.append([])
                 continue
-            gone = np.cumsum(step[:-1]) > 0
             edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))).reshape(-1, 2)
             spans.append([{"start": int(a), "end": int(b)} for a, b in edges])
             n_removed.append(int(gone.sum()))
@@ -221,10 +279,8 @@ def cut_repeats(docs: DataFrame, *, width: int = 20, gram: int = 8, id_col: str
         StructField("n_removed", LongType()), StructField("kept_text", StringType()),
         StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))),
     ])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     return by_bucket(rows).cogroup(by_bucket(phrases)).applyInArrow(
-        _cut(width, to_arrow_schema(out), per_automaton), out)
+        _cut(width, gram, to_arrow_schema(out), per_automaton), out)
 
 
 def without_repeats(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:

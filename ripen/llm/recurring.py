@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_BYTES = 8_000_000
-RANGE_TOKENS = 1_500_000
-FLUSH_TOKENS = 3_000_000
+BUCKET_BYTES = 5_000_000
+FLUSH_TOKENS = 2_000_000
 HOT_HERE = 64
 LAST_ID = 2**63 - 1
 #: Class of tokens that some task found frequent; others have the rounded 4 * log2(count).
 HOT = 255
+#: In place of a range: keys, whole, that were not counted.
+READY = -1
 
 
 def total_bytes(docs: DataFrame, text_col: str = "text") -> int:
@@ -78,8 +79,8 @@ def recurring_tokens(docs: DataFrame, tokens_of: Callable, n_buckets: int, n_ran
     """``bucket, r, keys, classes``: the recurring tokens of a bucket's documents.
 
     ``docs`` has ``bucket`` and ``text``; ``tokens_of`` maps a list of texts (bytes) to (tokens, number of
-    the text of each token).  ``keys`` holds unsigned 32-bit low halves within range ``r``; ``classes`` a
-    byte per key, growing with the token's count.
+    the text of each token).  ``keys`` holds unsigned 32-bit low halves within range ``r``, whole keys where
+    ``r`` is READY; ``classes`` a byte per key, growing with the token's count, HOT where not given.
     """
 
     def flush(buckets, tokens):
@@ -89,20 +90,20 @@ def recurring_tokens(docs: DataFrame, tokens_of: Callable, n_buckets: int, n_ran
         starts, counts = runs(keys)
         hot = np.repeat(counts >= HOT_HERE, counts)
         out = []
-        for chosen, mark in ((~hot, False), (hot, True)):
-            k, b = keys[chosen], buckets[chosen]
-            place = (k >> np.uint64(32)).astype(np.int64) * n_buckets + b
-            by_place = np.argsort(place, kind="stable")
-            k, place = k[by_place], place[by_place]
-            at, n = runs(place)
-            for i, m in zip(at.tolist(), n.tolist()):
-                r, bucket = divmod(int(place[i]), n_buckets)
-                low = (k[i:i + m] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                if mark:  # a negative range is not counted: its keys go straight back
-                    low = np.unique(low)
-                    out.append((-1 - r, bucket, low.tobytes(), bytes([HOT]) * len(low)))
-                else:
-                    out.append((r, bucket, low.tobytes(), None))
+        k, b = keys[~hot], buckets[~hot]
+        place = (k >> np.uint64(32)).astype(np.int64) * n_buckets + b
+        by_place = np.argsort(place, kind="stable")
+        k, place = k[by_place], place[by_place]
+        at, n = runs(place)
+        for i, m in zip(at.tolist(), n.tolist()):
+            r, bucket = divmod(int(place[i]), n_buckets)
+            out.append((r, bucket, (k[i:i + m] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), None))
+        k, b = keys[hot], buckets[hot]
+        by_bucket = np.argsort(b, kind="stable")
+        k, b = k[by_bucket], b[by_bucket]
+        at, n = runs(b)
+        for i, m in zip(at.tolist(), n.tolist()):  # not counted: these keys go straight back
+            out.append((READY, int(b[i]), np.unique(k[i:i + m]).tobytes(), None))
         marks = keys[starts[counts >= HOT_HERE]]
         at, n = runs(marks >> np.uint64(32))
         for i, m in zip(at.tolist(), n.tolist()):
@@ -154,22 +155,23 @@ def recurring_tokens(docs: DataFrame, tokens_of: Callable, n_buckets: int, n_ran
 
     def settle(table: pa.Table) -> pa.Table:
         if table.column("r")[0].as_py() >= 0:
-            return count(table.select(["r", "bucket", "keys", "classes"]))
-        r = pa.array([-1 - x for x in table.column("r").to_pylist()], pa.int32())
-        return pa.table({"r": r, "bucket": table.column("bucket"), "keys": table.column("keys"),
-                         "classes": table.column("classes")})
+            return count(table)
+        keys = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]))
+        return pa.Table.from_batches([_routed([(READY, table.column("bucket")[0].as_py(), keys.tobytes(), None)])])
 
     return spread_rows.withColumn("place", place).groupBy("place").applyInArrow(settle, ROUTED)
 
 
 def known_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The keys that a bucket got, sorted and distinct, and their classes."""
-    keys = [np.frombuffer(k, np.uint32).astype(np.uint64) | np.uint64(r << 32)
-            for r, k in zip(table.column("r").to_pylist(), table.column("keys").to_pylist())]
+    places = table.column("r").to_pylist()
+    keys = [np.frombuffer(k, np.uint64) if r == READY else np.frombuffer(k, np.uint32).astype(np.uint64) | np.uint64(r << 32)
+            for r, k in zip(places, table.column("keys").to_pylist())]
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.uint8)
-    keys = np.concatenate(keys)
-    classes = np.concatenate([np.frombuffer(c, np.uint8) for c in table.column("classes").to_pylist()])
+    keys_of, keys = keys, np.concatenate(keys)
+    classes = np.concatenate([np.full(len(k), HOT, np.uint8) if r == READY else np.frombuffer(c, np.uint8)
+                              for r, k, c in zip(places, keys_of, table.column("classes").to_pylist())])
     order = np.argsort(keys, kind="stable")
     keys, classes = keys[order], classes[order]
     first, _ = runs(keys)
