@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..session import prepare_session, small_side, store
 from .components import components
 from .recurring import (
-    BUCKET_BYTES, LAST_ID, bucket_of, count_for, known_keys, look_up, recurring_tokens, runs, token_keys, total_bytes,
+    BUCKET_BYTES, LAST_ID, bucket_of, count_for, known_keys, look_up, ranges_for, recurring_tokens, runs, token_keys, total_bytes,
 )
 from .wordhash import ONE, mixed, rolled, word_hashes
 
@@ -236,7 +236,7 @@ def link_documents(docs: DataFrame, *, width: int = 3, percent: int = 90, id_col
     spark = prepare_session(docs.sparkSession)
     size = total_bytes(docs, text_col)
     n_buckets = count_for(docs, size, bucket_bytes)
-    n_ranges = count_for(docs, size, RANGE_BYTES)
+    n_ranges = ranges_for(size, RANGE_BYTES)
     texts = docs.select(
         bucket_of(id_col, n_buckets).alias("bucket"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"),
         F.col(text_col).cast("string").alias("text"))
@@ -293,10 +293,10 @@ def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     one stays.
     """
     linked = store(link_documents(docs, id_col=id_col, text_col=text_col, **options))
-    gone = store(linked.where("id <> component_id").select("id").distinct())
-    twice = store(linked.groupBy("id").count().where("count > 1").select("id"))
+    gone = store(linked.where("id <> component_id").select(F.col("id").alias("_gone")).distinct())
+    twice = store(linked.groupBy("id").count().where("count > 1").select(F.col("id").alias("_twice")))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    left = docs.join(small_side(gone, gone.count()), key == gone["id"], "left_anti")
+    left = docs.join(small_side(gone, gone.count()), key == gone["_gone"], "left_anti")
     repeated = small_side(twice, twice.count())
-    return left.join(repeated, key == twice["id"], "left_anti").union(
-        left.join(repeated, key == twice["id"], "left_semi").dropDuplicates([id_col, text_col]))
+    return left.join(repeated, key == twice["_twice"], "left_anti").union(
+        left.join(repeated, key == twice["_twice"], "left_semi").dropDuplicates([id_col, text_col]))

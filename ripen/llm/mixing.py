@@ -27,7 +27,9 @@ def n_words(text: Column) -> Column:
 
 
 def hash_key(id_col: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_col))
+    """60 bits of the md5 of seed and id."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
 def cyclic_weights(sources: DataFrame, cycle=(5, 2, 1)) -> DataFrame:

@@ -1,3 +1,113 @@
 """DuckDB SQL twins, written on the tables' definitions."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .quality import RULES, Risk
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_MIX = f"""
+WITH sized AS (
+  SELECT doc_id, source, len({_WORDS}) AS size, ('0x' || substr(md5('17:' || doc_id), 1, 15))::BIGINT AS key FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS weight
+  FROM sized GROUP BY source),
+steps AS (  -- sources in the order in which they reach twice their size
+  SELECT *, 2.0 * source_size AS most, coalesce(sum(2.0 * source_size) OVER before, 0) AS given,
+         sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weights, row_number() OVER turn AS turn,
+         1.5 * sum(source_size) OVER () AS budget
+  FROM sources WINDOW turn AS (ORDER BY 2.0 * source_size / weight, source),
+    before AS (ORDER BY 2.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT coalesce(arg_min((budget - given)::DOUBLE / weights, turn) FILTER (weight * ((budget - given)::DOUBLE / weights) <= most), 0.0) AS level
+  FROM steps),
+targets AS (SELECT source, source_size, least(weight * level, most)::DOUBLE AS target FROM steps, level),
+ranked AS (
+  SELECT s.*, source_size, target, round(target)::BIGINT AS words,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       ((CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END) * size + greatest(0, least(size,
+          words - (CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END) * source_size - before)))::BIGINT AS taken
+FROM ranked
+"""
+
+_LINKS = f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s
+  FROM words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * shared.n >= 90 * (p.n + q.n - shared.n)),
+reached AS (SELECT DISTINCT x AS doc_id, x AS other FROM links UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON r.other = l.x)
+SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(other), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN reached r ON d.doc_id = r.doc_id GROUP BY d.doc_id
+"""
+
+_GRID = " UNION ALL ".join(
+    f"SELECT '{rule.name}' AS rule, {i} AS step, {cut}::DOUBLE AS cut" for rule in RULES for i, cut in enumerate(rule.cutoffs))
+_SIGNALS = " UNION ALL ".join(f"SELECT doc_id, lang, '{rule.name}' AS rule, {rule.signal} AS signal FROM counts" for rule in RULES)
+_RISK = Risk()
+_SHARE = _RISK.false_rejection / len(RULES)
+
+_QUALITY = rf"""
+WITH docs AS (SELECT doc_id, lang, coalesce(text, '') AS t, {_WORDS} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n
+  FROM (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i,
+               unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM docs)),
+repeats AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS j FROM windows WHERE n > 1) GROUP BY doc_id),
+counts AS (
+  SELECT d.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper
+  FROM docs d LEFT JOIN repeats r ON d.doc_id = r.doc_id),
+signals AS ({_SIGNALS}),
+known AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+tried AS (
+  SELECT lang, rule, step, cut, count(*) FILTER (good) AS n, count(*) FILTER (good AND signal >= cut) AS lost,
+         count(*) FILTER (NOT good AND signal >= cut) AS caught
+  FROM signals JOIN known USING (doc_id) JOIN ({_GRID}) USING (rule) GROUP BY ALL),
+tested AS (
+  SELECT *, lost <= n * {_SHARE} AND list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+      + i * ln({_SHARE}) + (n - i) * ln(1 - {_SHARE})))) <= {_RISK.error} / ({len(RULES)} * (SELECT count(*) FROM (SELECT DISTINCT lang FROM tried))) AS passed
+  FROM tried),
+certified AS (
+  SELECT *, bool_and(passed) OVER (PARTITION BY lang, rule ORDER BY step) AS all_passed FROM tested),
+chosen AS (
+  SELECT lang, rule, arg_max(cut, (caught - lost) * 1000 - step) AS cut FROM certified WHERE all_passed AND caught > lost GROUP BY lang, rule),
+hits AS (
+  SELECT DISTINCT doc_id FROM signals s JOIN chosen c ON s.lang IS NOT DISTINCT FROM c.lang AND s.rule = c.rule AND signal >= cut)
+SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND h.doc_id IS NULL AS kept
+FROM counts c LEFT JOIN hits h ON c.doc_id = h.doc_id
+"""
+
+_REPEATS = f"""
+WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS turn
+  FROM (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i,
+               unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS s FROM words)),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, i, unnest(range(0, 20)) AS j FROM windows WHERE turn > 1)),
+each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS t FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i
+         WHERE g.i IS NULL GROUP BY e.doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id LEFT JOIN lost l ON w.doc_id = l.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_mix_sources": _MIX,
+    "op3_ngram_jaccard_join": _LINKS,
+    "op7_quality_rules": _QUALITY,
+    "op8_substring_dedup": _REPEATS,
+}

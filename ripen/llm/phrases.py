@@ -30,16 +30,16 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from ..session import prepare_session
 from .recurring import (
-    BUCKET_BYTES, LAST_ID, bucket_of, count_for, known_keys, look_up, range_of, recurring_tokens, runs, token_keys,
+    BUCKET_BYTES, LAST_ID, bucket_of, count_for, known_keys, look_up, range_of, ranges_for, recurring_tokens, runs, token_keys,
     total_bytes,
 )
-from .wordhash import ONE, OTHER, owners, rolled, sliding, word_hashes
+from .wordhash import ONE, OTHER, owners, rolled, sliding, word_hash_pairs, word_hashes
 
 PHRASES_PER_AUTOMATON = 30_000
 _BASE, _FIRST_CODE, _OTHER_WORD = 64, 0x100, "\x01\x01\x01"
 BYTES_PER_RANGE = 12_000_000
-WINDOWS = "place int, bucket int, one binary, two binary, id binary, at binary, often binary"
-PHRASES = "bucket int, id binary, at binary, first binary"
+WINDOWS = "place int, bucket int, one binary, two binary, least long, id binary, at binary, often binary"
+PHRASES = "bucket int, at binary, first binary"
 
 
 def _anchors(hashes: np.ndarray, lengths, width: int, gram: int):
@@ -77,8 +77,8 @@ def in_order(table: pa.Table, binary: str = "text"):
 
 def _candidates(width: int, gram: int, n_ranges: int, n_places: int):
     def windows(docs: pa.Table, known: pa.Table) -> pa.Table:
-        empty = pa.schema([("place", pa.int32()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in (
-            "one", "two", "id", "at", "often")]]).empty_table()
+        empty = pa.schema([("place", pa.int32()), ("bucket", pa.int32()), ("one", pa.binary()), ("two", pa.binary()),
+                           ("least", pa.int64()), *[(c, pa.binary()) for c in ("id", "at", "often")]]).empty_table()
         known, _ = known_keys(known)
         if not len(known) or not docs.num_rows:
             return empty
@@ -86,34 +86,35 @@ def _candidates(width: int, gram: int, n_ranges: int, n_places: int):
         _, ids, texts = in_order(docs)
         words = [t.split() for t in texts]
         lengths = np.array([len(w) for w in words], np.int64)
-        first_hashes = word_hashes(words)
+        first_hashes, second_hashes = word_hash_pairs(words)
         _, least, valid = _anchors(first_hashes, lengths, width, gram)
         starts = np.flatnonzero(valid)
         starts = starts[look_up(token_keys(least[starts], n_ranges), known)[0]]
         if not len(starts):
             return empty
         one = rolled(first_hashes, width, ONE)[starts]
-        two = rolled(word_hashes(words, seed=1), width, OTHER)[starts]
+        two = rolled(second_hashes, width, OTHER)[starts]
         # The first of equal windows: starts rise by (id, text, place).
         order = np.lexsort((starts, two, one))
         same = np.concatenate(([False], (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])))
         at, n = runs(np.cumsum(~same))
         chosen, often = order[at], np.minimum(n, 2).astype(np.uint8)
         one, two, starts = one[chosen], two[chosen], starts[chosen]
-        number, _ = owners(lengths)
-        begins = np.concatenate(([0], np.cumsum(lengths)))
-        doc = number[starts]
-        ids = np.array(ids, np.int64)[doc]
-        local = (doc << 32) | (starts - begins[doc])  # row in the bucket's order, and word
+        ids = np.array(ids, np.int64)[owners(lengths)[0][starts]]
         place = range_of(one, n_places).astype(np.int64)
-        order = np.argsort(place, kind="stable")
+        order = np.lexsort((starts, place))
         at, n = runs(place[order])
         rows = [order[i:i + m] for i, m in zip(at.tolist(), n.tolist())]
+        # Ids as offsets from the least of a row, in as few bytes as they need; places as words of the bucket.
+        least_ids = [ids[r].min() for r in rows]
+        offsets = [(ids[r].astype(np.uint64) - np.uint64(low & (2**64 - 1))) for r, low in zip(rows, map(int, least_ids))]
+        told_ids = [x.astype(np.uint32) if x.max() < 2**32 else x for x in offsets]
         blob = lambda values: pa.array([values[r].tobytes() for r in rows], pa.binary())
         return pa.table({
             "place": pa.array([int(place[r[0]]) for r in rows], pa.int32()),
             "bucket": pa.array([bucket] * len(rows), pa.int32()),
-            "one": blob(one), "two": blob(two), "id": blob(ids), "at": blob(local), "often": blob(often)})
+            "one": blob(one), "two": blob(two), "least": pa.array(least_ids, pa.int64()),
+            "id": pa.array([x.tobytes() for x in told_ids], pa.binary()), "at": blob(starts.astype(np.uint32)), "often": blob(often)})
 
     return windows
 
@@ -121,8 +122,10 @@ def _candidates(width: int, gram: int, n_ranges: int, n_places: int):
 def _confirm(table: pa.Table) -> pa.Table:
     read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
     ones = read("one", np.uint64)
-    one, two, ids, at = np.concatenate(ones), *(np.concatenate(read(c, k)) for c, k in (
-        ("two", np.uint64), ("id", np.int64), ("at", np.int64)))
+    one, two, at = np.concatenate(ones), np.concatenate(read("two", np.uint64)), np.concatenate(read("at", np.uint32))
+    ids = np.concatenate([
+        (np.frombuffer(x, np.uint32 if len(x) == 4 * len(o) else np.uint64).astype(np.uint64) + np.uint64(low & (2**64 - 1))).view(np.int64)
+        for x, o, low in zip(table.column("id").to_pylist(), ones, table.column("least").to_pylist())])
     often = np.concatenate(read("often", np.uint8))
     bucket = np.repeat(table.column("bucket").to_numpy(), [len(x) for x in ones])
     order = np.lexsort((ids, two, one))
@@ -131,13 +134,13 @@ def _confirm(table: pa.Table) -> pa.Table:
     first = np.zeros(len(one), np.uint8)
     first[starts] = 1
     kept = np.repeat(np.add.reduceat(often.astype(np.int64), starts) > 1, n)
-    bucket, ids, at, first = bucket[kept], ids[kept], at[kept], first[kept]
-    order = np.argsort(bucket, kind="stable")
+    bucket, at, first = bucket[kept], at[kept], first[kept]
+    order = np.lexsort((at, bucket))
     at_bucket, n = runs(bucket[order])
     rows = [order[i:i + m] for i, m in zip(at_bucket.tolist(), n.tolist())]
     blob = lambda values: pa.array([values[r].tobytes() for r in rows], pa.binary())
     return pa.table({"bucket": pa.array([int(bucket[r[0]]) for r in rows], pa.int32()),
-                     "id": blob(ids), "at": blob(at), "first": blob(first)})
+                     "at": blob(at), "first": blob(first)})
 
 
 def locate(words: list[list[bytes]], phrases: list[tuple[int, int]], width: int,
@@ -173,20 +176,18 @@ def _code(number: int) -> str:
     return chr(_FIRST_CODE + high) + chr(_FIRST_CODE + _BASE + middle) + chr(_FIRST_CODE + 2 * _BASE + low)
 
 
-def repeated(words: list[list[bytes]], found: list[tuple[int, int, bool]], width: int, gram: int,
+def repeated(words: list[list[bytes]], starts: np.ndarray, firsts: np.ndarray, width: int, gram: int,
              per_automaton: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts, in the concatenation of the documents, of windows to cut; and where documents begin.
 
-    ``found``: the first place in these documents of each recurring window, and whether it is the first of all.
+    ``starts``: the first place in these documents of each recurring window; ``firsts``: if it is the first of all.
     """
     lengths = np.array([len(w) for w in words], np.int64)
     begins = np.concatenate(([0], np.cumsum(lengths)))
-    if not found:
-        return np.empty(0, np.int64), begins
-    docs, places, firsts = (np.array(x) for x in zip(*found))
-    starts = begins[docs] + places
-    hashes = word_hashes(words)
-    one, two = rolled(hashes, width, ONE), rolled(word_hashes(words, seed=1), width, OTHER)
+    if not len(starts):
+        return starts, begins
+    hashes, others = word_hash_pairs(words)
+    one, two = rolled(hashes, width, ONE), rolled(others, width, OTHER)
     grams = rolled(hashes, gram, ONE)
     span = width - gram + 1
     # Phrases: the grams that stand for the recurring windows, each distinct one once.
@@ -226,11 +227,11 @@ def _cut(width: int, gram: int, schema: pa.Schema, per_automaton: int):
             return schema.empty_table()
         order, _, texts = in_order(docs)
         words = [t.split() for t in texts]
-        told = []
-        for at, first in zip(found.column("at").to_pylist(), found.column("first").to_pylist()):
-            at = np.frombuffer(at, np.int64)
-            told += zip((at >> 32).tolist(), (at & 0xFFFFFFFF).tolist(), np.frombuffer(first, np.bool_).tolist())
-        starts, begins = repeated(words, told, width, gram, per_automaton)
+        at = [np.frombuffer(x, np.uint32).astype(np.int64) for x in found.column("at").to_pylist()]
+        first = [np.frombuffer(x, np.bool_) for x in found.column("first").to_pylist()]
+        nothing = np.empty(0, np.int64)
+        starts, begins = repeated(words, np.concatenate([nothing, *at]), np.concatenate([nothing.astype(bool), *first]),
+                                  width, gram, per_automaton)
         step = np.zeros(int(begins[-1]) + 1, np.int32)
         np.add.at(step, starts, 1)
         np.add.at(step, starts + width, -1)
@@ -257,15 +258,15 @@ def _cut(width: int, gram: int, schema: pa.Schema, per_automaton: int):
 
 
 def cut_repeats(docs: DataFrame, *, width: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text",
-                bucket_bytes: int = BUCKET_BYTES, per_automaton: int = PHRASES_PER_AUTOMATON) -> DataFrame:
-    """One row per document row: ``row`` (its columns but the text), ``n_words``, ``n_removed``,
+                bucket_bytes: int = BUCKET_BYTES, per_automaton: int = PHRASES_PER_AUTOMATON, with_text: bool = False) -> DataFrame:
+    """One row per document row: ``row`` (its columns, the text only ``with_text``), ``n_words``, ``n_removed``,
     ``kept_text`` (the kept words joined by single blanks) and ``spans`` (removed ranges of words)."""
     prepare_session(docs.sparkSession)
     size = total_bytes(docs, text_col)
     n_buckets = count_for(docs, size, bucket_bytes)
-    n_ranges = count_for(docs, size, 6 * BYTES_PER_RANGE)
-    n_places = count_for(docs, size, BYTES_PER_RANGE)
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    n_ranges = ranges_for(size, 6 * BYTES_PER_RANGE)
+    n_places = ranges_for(size, BYTES_PER_RANGE)
+    rest = [F.col(f"`{c}`") for c in docs.columns if with_text or c != text_col]
     rows = docs.select(bucket_of(id_col, n_buckets).alias("bucket"), F.col(id_col).cast("long").alias("id"),
                        F.col(text_col).cast("string").alias("text"), F.struct(*rest).alias("row"))
     texts = rows.select("bucket", "id", "text")
@@ -288,7 +289,7 @@ def without_repeats(docs: DataFrame, *, text_col: str = "text", **options) -> Da
 
     Documents that lose all their words go.
     """
-    done = cut_repeats(docs.withColumn("_whole", F.col(text_col)), text_col=text_col, **options)
-    text = F.when(F.col("n_removed") == 0, F.col("row._whole")).otherwise(F.col("kept_text"))
+    done = cut_repeats(docs, text_col=text_col, with_text=True, **options)
+    text = F.when(F.col("n_removed") == 0, F.col(f"row.`{text_col}`")).otherwise(F.col("kept_text"))
     left = done.where("n_removed = 0 or n_removed < n_words")
     return left.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

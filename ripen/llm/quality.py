@@ -225,7 +225,9 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), rules=RULES,
     the documents, with the cutoffs, a row per stratum, broadcast when their measured number allows.
     """
     counted, _, cuts = _fitted(docs, labels, risk, rules, id_col, text_col, stratum_col)
-    return _apply(counted.select("row", "c", "stratum", "c.*"), cuts, rules, ["row", "c"])
+    # A generator keeps the verdict from being pushed into the counts, which would compute them many times.
+    once = counted.select("row", "stratum", F.explode(F.array("c")).alias("c"))
+    return _apply(once.select("row", "c", "stratum", "c.*"), cuts, rules, ["row", "c"])
 
 
 def judge_counts(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), rules=RULES, *, id_col: str = "doc_id",

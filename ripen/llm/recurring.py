@@ -39,6 +39,11 @@ def count_for(docs: DataFrame, amount: int, per_part: int) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-amount // per_part))
 
 
+def ranges_for(amount: int, per_range: int) -> int:
+    """Ranges of at most about ``per_range``: as few as that, since a task tells every bucket and range apart."""
+    return max(1, -(-amount // per_range))
+
+
 def bucket_of(id_col: str, n_buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col(id_col), F.lit(LAST_ID))), F.lit(n_buckets)).cast("int")
 

@@ -34,11 +34,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from ..session import prepare_session, small_side, store
-from .recurring import BUCKET_BYTES, bucket_of, count_for, known_keys, look_up, recurring_tokens, runs, token_keys, total_bytes
+from .recurring import BUCKET_BYTES, bucket_of, count_for, known_keys, look_up, ranges_for, recurring_tokens, runs, token_keys, total_bytes
 from .wordhash import ONE, mixed, owners, rolled, sliding
 
 SLICE_BYTES = 1_000_000
 CONTEXTS_AT_ONCE = 4096
+#: Bytes of text per range of picked grams, of which there is one in about a hundred bytes.
+RANGE_BYTES = 100_000_000
 _PLACE = np.uint64((1 << 28) - 1)
 _BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64))
 CLASS = ["gram", "one", "two"]
@@ -249,11 +251,12 @@ def cut_recurring(docs: DataFrame, *, length: int = 400, gram: int = 200, id_col
     rows = docs.select(bucket_of(id_col, n_parts).alias("bucket"), F.col(text_col).cast("string").alias("text"),
                        F.struct(*rest).alias("row"))
     texts = rows.select("bucket", "text")
-    known = recurring_tokens(texts, _gram_tokens(length, gram), n_parts, n_parts)
+    n_ranges = ranges_for(size, RANGE_BYTES)
+    known = recurring_tokens(texts, _gram_tokens(length, gram), n_parts, n_ranges)
     schema = pa.schema([("bucket", pa.int32()), *[(c, pa.int64()) for c in CLASS], ("lead", pa.int32()), ("windows", pa.int32()),
                         ("often", pa.int64()), ("context", pa.binary())])
     told = store(texts.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
-        _contexts(length, gram, n_parts, schema), CONTEXTS))
+        _contexts(length, gram, n_ranges, schema), CONTEXTS))
     classes = store(told.groupBy(*CLASS).agg(F.sum("often").alias("often")))
     shared = store(classes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
     n_shared = shared.count()

@@ -20,11 +20,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(word_lists: list[list[bytes]], seed: int = 0) -> np.ndarray:
+def word_hashes(word_lists: list[list[bytes]]) -> np.ndarray:
     """One hash per word of all texts in turn; each distinct word is hashed once."""
+    return word_hash_pairs(word_lists)[0]
+
+
+def word_hash_pairs(word_lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes per word of all texts in turn."""
     words = list(chain.from_iterable(word_lists))
-    known = {w: xxhash.xxh3_64_intdigest(w, seed) for w in set(words)}
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    place = {w: i for i, w in enumerate(set(words))}
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, place)), ">u8").astype(np.uint64).reshape(-1, 2)
+    at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+    return both[at, 1], both[at, 0]
 
 
 def rolled(values: np.ndarray, width: int, factor: np.uint64) -> np.ndarray:
