@@ -291,7 +291,7 @@ cp AS (SELECT candidate, fold_id, y, {_sig('z * candidate')} AS p FROM fp JOIN c
 
 
 def oracle_sql() -> dict[str, str]:
-    hex4 = "cast('0x' || substr(md5('{s}:' || impression_id::VARCHAR), 1, 8) AS BIGINT) % 10000"
+    hashed = "cast('0x' || substr(md5('{s}:' || impression_id::VARCHAR), 1, 12) AS BIGINT)"
     fold_columns = ", ".join(f"{_DATE.format(a)} AS {b}" for a, b in (
         ("train_start_s", "train_start"), ("train_end_s", "train_end"),
         ("train_end_s", "test_start"), ("test_end_s", "test_end")))
@@ -318,7 +318,7 @@ def oracle_sql() -> dict[str, str]:
  sha256(uid::VARCHAR || chr(1) || "timestamp"::VARCHAR || chr(1) || cat1::VARCHAR) AS row_key FROM raw"""),
         "late_cutoff": _q("", "SELECT impression_id, conversion, conversion_delay FROM kept"),
         "hash_downsample": _q("", f"""SELECT impression_id, conversion FROM kept
- WHERE (conversion = 1 OR {hex4.format(s='3')} < 7500) AND {hex4.format(s='3-all')} < 200"""),
+ WHERE (conversion = 1 OR {hashed.format(s='3')} < {round(0.75 * 2**48)}) AND {hashed.format(s='3-all')} < {round(0.02 * 2**48)}"""),
         "horizon": _q("", """SELECT max(conversion_delay) AS horizon,
  ceil(max(conversion_delay) / 86400)::BIGINT AS max_delay_days FROM kept"""),
         "delay_buckets": _q("", """SELECT impression_id, bucket_id,
@@ -421,8 +421,8 @@ ev AS (SELECT * FROM loss2 JOIN curve USING (fold_id) JOIN tops USING (fold_id))
             f"SELECT fold_id::VARCHAR AS fold_id, {_METRICS_R} FROM ev UNION ALL SELECT 'AVG', "
             + ", ".join(_r6(f"avg({m})") for m in _METRICS) + " FROM ev"),
         "holdout": _q(_OBS, f"""SELECT impression_id, (y_obs = 0)::INTEGER AS s,
- (cast('0x' || substr(md5('42-holdout:' || ((y_obs = 0)::INTEGER)::VARCHAR || '/' || impression_id::VARCHAR), 1, 8) AS BIGINT)
-  % 10000 < 1000)::INTEGER AS is_valid
+ (cast('0x' || substr(md5('42-holdout:' || ((y_obs = 0)::INTEGER)::VARCHAR || '/' || impression_id::VARCHAR), 1, 12) AS BIGINT)
+  < 28147497671066)::INTEGER AS is_valid
  FROM obs WHERE start_s < {_TRAIN_END - 172800} AND (y_obs = 0 OR coalesce(event_s >= {_TRAIN_END - 172800}, false))"""),
         "one_hot": _q("", f"SELECT impression_id, {_r6(' + '.join(_hot))} AS total FROM prep"),
         "head_labels": _q("", "SELECT impression_id, b1, b2, b3, b4, m1, m2, m3, m4 FROM trm"),

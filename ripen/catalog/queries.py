@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import any_one, epoch_seconds, exploded_positions, hash_share, sigmoid
+from ..functions import any_one, epoch_seconds, exploded_positions, sigmoid
 from ..operators import (
     calibration, delays, heads, history, maturity, metrics, numerics, ranking, shift, splits, vocabulary,
 )
@@ -155,7 +155,7 @@ def bucket_counts(spark, sf_dir):
 
 @query
 def bucket_cuts(spark, sf_dir):
-    return delays.bucket_cuts(t.bucketed(spark, sf_dir))
+    return delays.bucket_cuts(t.bucketed(spark, sf_dir)).select("bucket_id", "upper_bound")
 
 
 @query
@@ -628,5 +628,3 @@ def candidate_medians(spark, sf_dir):
     per_fold = metrics.loss_metrics(predictions, by=["candidate", "fold_id"])
     return rounded(metrics.candidate_scores(per_fold, "median"), "candidate")
 
-
-__all__ = ["queries", "query", "hash_share", "Window"]

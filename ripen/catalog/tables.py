@@ -29,7 +29,7 @@ TAU_DAYS = 2
 def hot_users(events: DataFrame, hot_rows: int = CONFIG.hot_rows) -> HotKeys:
     """Busy users of the relevant events, which serve every running aggregate over them."""
     relevant = events.filter(F.col("event_type").isin(*IMPRESSION_TYPES, "purchase"))
-    return find_hot_keys(relevant.withColumnRenamed("user_id", "uid"), "uid", "ts", hot_rows)
+    return find_hot_keys(relevant.withColumnRenamed("user_id", "uid"), "uid", hot_rows)
 
 
 def raw(spark: SparkSession, sf_dir: str, *, hot_rows: int = CONFIG.hot_rows) -> DataFrame:
@@ -46,7 +46,7 @@ def history(spark: SparkSession, sf_dir: str, *, hot_rows: int = CONFIG.hot_rows
 def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The preprocessed rows; the intermediate table is written once, as later stages scan it
     several times (horizon, cut-offs, vocabularies)."""
-    return with_buckets(store(history(spark, sf_dir)), CONFIG, sample=False)
+    return with_buckets(store(history(spark, sf_dir)), CONFIG)
 
 
 def conformed(spark: SparkSession, sf_dir: str) -> Conformed:

@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BUCKETS = 10_000
+#: The hash has 48 bits: shares are kept to about 4e-15.
+HASH_RANGE = 2**48
 
 
 def hash_share(key: Column, seed) -> Column:
-    """A bucket 0..9999 from the first eight hex digits of md5(seed:key)."""
+    """An integer below HASH_RANGE from the first twelve hex digits of md5(seed:key)."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % BUCKETS
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
 def hash_keep(key: Column, fraction: float, seed) -> Column:
-    return hash_share(key, seed) < F.lit(int(round(fraction * BUCKETS)))
+    if not 0.0 <= fraction <= 1.0:
+        raise ValueError(f"A share lies between 0 and 1: {fraction}")
+    return hash_share(key, seed) < F.lit(round(fraction * HASH_RANGE))

@@ -61,10 +61,12 @@ def random_forest(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Outcome:
     splits.require_rows(train=train, test=test)
     features = _features(train, spec)
     encoded = cut(features.apply(train).select("features", F.col(TARGET).cast("double").alias("label")))
-    depth = settings["max_depth"]
+    depth = DEEPEST_TREE if settings["max_depth"] is None else int(settings["max_depth"])
+    if depth > DEEPEST_TREE:
+        raise ValueError(f"max_depth={depth}: trees grow to a depth of {DEEPEST_TREE} at most; None asks for that.")
     model = RandomForestClassifier(
         numTrees=int(settings["n_trees"]),
-        maxDepth=DEEPEST_TREE if depth is None else min(int(depth), DEEPEST_TREE),
+        maxDepth=depth,
         minInstancesPerNode=int(settings["min_samples_leaf"]),
         featureSubsetStrategy=str(settings["max_features"]),
         subsamplingRate=float(settings["row_share"]), seed=int(spec.seed),

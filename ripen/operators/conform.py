@@ -17,6 +17,7 @@ START = "timestamp_dt"
 EVENT = "conversion_timestamp_dt"
 ROW_ID = "impression_id"
 HEADS = "bucket_vec"
+DAY_COLUMN = "event_date"
 
 # The column roles of the impression log.
 CATEGORICAL = ("campaign", *(f"cat{i}" for i in range(1, 10)))
@@ -66,4 +67,6 @@ def conform(
     columns += [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in cats]
     columns += [F.col(c).cast("double").alias(c) for c in nums]
     columns += [F.coalesce(F.col(h), zeros(n_buckets)).alias(h) for h in heads]
+    if DAY_COLUMN in df.columns:  # not a feature: it prunes files of a table laid out by day
+        columns.append(F.col(DAY_COLUMN))
     return Conformed(df.select(*columns), cuts[-1], cuts, tuple(cats), tuple(nums))

@@ -1,9 +1,10 @@
 """Running aggregates per key that survive a key holding a third of all rows.
 
-A plain window puts all rows of a key into one task.  Here the keys with more than
-``max_rows`` rows are first cut into time slices of roughly that many rows; windows run
-inside (key, slice), and the few slice totals are accumulated and added back.  Sum, minimum
-and maximum combine exactly, so the result equals the plain window's.
+A plain window puts all rows of a key into one task.  Here the rows of keys with more than
+``max_rows`` rows fall into time slices; windows run inside (key, slice), and the slice totals,
+one row per hot key and slice, are accumulated and added back.  Sum, minimum and maximum
+combine exactly, so the result equals the plain window's.  Neither keys nor slices are
+collected, and no number of hot keys is refused.
 """
 
 from __future__ import annotations
@@ -12,10 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import SMALL_ROWS
-from .ranking import MOST_PIECES, cut_points
+from ..session import cut, small_side
 
 SLICE = "_slice"
 
@@ -36,68 +35,19 @@ class Measure:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys above ``max_rows`` with their place on one number line, and its cutting points.
-
-    Hot key number h occupies [h, h + 1): its times are scaled into that interval.
-    """
+    """``places``: the hot keys, one column; None if there are none.  ``n``: their number."""
 
     places: DataFrame | None
-    cuts: tuple[float, ...] = ()
-
-
-def _line(time: str) -> Column:
-    return F.col("_place") + (F.unix_micros(time) - F.col("_low")) / F.col("_span")
-
+    n: int = 0
+    slice_seconds: int = 3600
 
-def find_hot_keys(df: DataFrame, key: str, time: str, max_rows: int = 5_000_000) -> HotKeys:
-    """Find the keys to slice and where to cut them.
 
-    The counting job shuffles one partial count per key and task.  At most
-    rows / ``max_rows`` keys can qualify, and each gets at most four cuts per ``max_rows``
-    rows: this list is what the driver holds and what is broadcast later.
-    """
-    counts = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"),
-             F.min(F.unix_micros(time)).alias("low"), F.max(F.unix_micros(time)).alias("high"))
-        .filter(F.col("n") > max_rows)
-        .collect()
-    )
-    if not counts:
-        return HotKeys(None)
-    rows_in = sum(row["n"] for row in counts)
-    if len(counts) + 4 * rows_in // max_rows > SMALL_ROWS:
-        raise ValueError(f"{len(counts)} busy keys are too many to broadcast: raise max_rows={max_rows}.")
-    schema = T.StructType([
-        T.StructField(key, df.schema[key].dataType),
-        T.StructField("_place", T.DoubleType()),
-        T.StructField("_low", T.LongType()),
-        T.StructField("_span", T.DoubleType()),
-    ])
-    spark = df.sparkSession
-    classes: dict[int, list] = {}
-    for place, row in enumerate(counts):
-        classes.setdefault((row["n"] // max_rows).bit_length(), []).append(
-            (row[key], float(place), row["low"], float(row["high"] - row["low"] + 1))
-        )
-    cuts: set[float] = set()
-    for bits, members in sorted(classes.items()):
-        # Keys of similar size share one number of slices, so that cuts stay in
-        # proportion to rows.
-        pieces = min(MOST_PIECES, 2 ** (bits + 1))
-        found = (
-            df.select(key, time)
-            .join(F.broadcast(spark.createDataFrame(members, schema=schema)), key)
-            .groupBy(key)
-            .agg(F.percentile_approx(
-                _line(time), [i / pieces for i in range(1, pieces)], 4 * pieces
-            ).alias("cuts"))
-            .collect()
-        )
-        for row in found:
-            cuts.update(row["cuts"])
-    places = spark.createDataFrame([m for c in classes.values() for m in c], schema=schema)
-    return HotKeys(places, tuple(sorted(cuts)))
+def find_hot_keys(df: DataFrame, key: str, max_rows: int = 5_000_000, *, slice_seconds: int = 3600) -> HotKeys:
+    """The keys to slice: one aggregate with a partial count per key and task."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_rows)
+    places = cut(counts.select(key))
+    n = places.count()
+    return HotKeys(places if n else None, n, slice_seconds)
 
 
 def _combine(how: str, left: Column, right: Column) -> Column:
@@ -130,10 +80,11 @@ def running_by_key(
             for m in measures
         })
 
-    placed = df.join(F.broadcast(hot.places), key, "left").withColumn(
-        "_x", F.coalesce(_line(order[0]), F.lit(-1.0)))
-    sliced = cut_points(placed, "_x", hot.cuts, SLICE)
-    totals = sliced.filter(F.col("_place").isNotNull()).groupBy(key, SLICE).agg(
+    marked = df.join(small_side(hot.places.withColumn("_hot", F.lit(True)), hot.n), key, "left")
+    number = F.floor(F.unix_micros(order[0]) / F.lit(hot.slice_seconds * 1_000_000)).cast("long")
+    # Rows without a time sort first; the other keys are one slice each.
+    sliced = marked.withColumn(SLICE, F.when(F.col("_hot"), F.coalesce(number, F.lit(-(2**62)))).otherwise(F.lit(0)))
+    totals = sliced.filter("_hot").groupBy(key, SLICE).agg(
         *[aggregate[m.how](m.column).alias(m.name) for m in measures]
     )
     carried = totals.select(
@@ -150,7 +101,7 @@ def running_by_key(
             _window([key, SLICE], order, m.descending, m.inclusive))
         for m in measures
     })
-    joined = local.join(F.broadcast(carried), [key, SLICE], "left")
+    joined = local.join(carried, [key, SLICE], "left")
     return joined.withColumns({
         m.name: _combine(m.how, F.col(m.name), F.col(f"_carry_{m.name}")) for m in measures
     }).select(*df.columns, *[m.name for m in measures])

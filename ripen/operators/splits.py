@@ -20,9 +20,9 @@ def window_slice(df: DataFrame, start, end, column: str = START) -> DataFrame:
     low, high = as_timestamp(start), as_timestamp(end)
     kept = df.filter((F.col(column) >= low) & (F.col(column) < high))
     if "event_date" in df.columns:
-        kept = kept.filter(
-            (F.col("event_date") >= F.to_date(low)) & (F.col("event_date") <= F.to_date(high))
-        )
+        # An end at midnight needs nothing of its own day.
+        last = F.to_date(high - F.expr("interval 1 microsecond"))
+        kept = kept.filter((F.col("event_date") >= F.to_date(low)) & (F.col("event_date") <= last))
     return kept
 
 

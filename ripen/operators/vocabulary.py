@@ -18,12 +18,21 @@ SALTS = 64
 INLINE_VALUES = 500
 
 
+def _is_text(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.StringType)
+
+
+def unseen_marker(df: DataFrame, column: str):
+    """What stands for an unseen value: a text in a column of texts, a number otherwise."""
+    return UNSEEN_TEXT if _is_text(df, column) else UNSEEN
+
+
 def vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct non-null (column, value) pairs of all columns from one scan.
 
     The pairs are deduplicated map-side before the one shuffle.
     """
-    kind = "string" if any(isinstance(df.schema[c].dataType, T.StringType) for c in columns) else "long"
+    kind = "string" if any(_is_text(df, c) for c in columns) else "long"
     pairs = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in columns
     ])
@@ -38,19 +47,20 @@ def sizes(vocab: DataFrame) -> dict[str, int]:
 
 
 def lookup(
-    df: DataFrame, column: str, entries: DataFrame, n: int, *, small: int = SMALL_ROWS,
+    df: DataFrame, column: str, entries: DataFrame, n: int, *, small: int = SMALL_ROWS, row_key: str | None = None,
 ) -> DataFrame:
     """Left-join ``entries`` (unique ``value`` plus payload) on ``column``.
 
     Up to ``small`` entries (a measured number) are broadcast and ``df`` is not moved.
     Beyond that both sides shuffle, with every entry copied to ``SALTS`` salts so that a
-    value held by a third of the rows is spread over as many tasks.
+    value held by a third of the rows is spread over as many tasks.  The salt is a hash of
+    ``row_key``, or of all columns: the same whenever a task runs again.
     """
     entries = entries.withColumn("value", F.col("value").cast(df.schema[column].dataType))
     if n <= small:
         return df.join(F.broadcast(entries), df[column] == F.col("value"), "left").drop("value")
     salted = entries.withColumn("_salt_e", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = df.withColumn("_salt", F.pmod(F.xxhash64("impression_id"), F.lit(SALTS)).cast("int"))
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(*([row_key] if row_key else df.columns)), F.lit(SALTS)).cast("int"))
     return left.join(
         salted, (left[column] == salted["value"]) & (F.col("_salt") == F.col("_salt_e")), "left"
     ).drop("value", "_salt", "_salt_e")
@@ -61,10 +71,14 @@ def map_unseen(
     train: DataFrame,
     columns: Sequence[str],
     *,
-    unknown=UNSEEN,
+    unknown=None,
     small: int = SMALL_ROWS,
+    row_key: str | None = None,
 ) -> DataFrame:
-    """Replace values that the training rows do not hold; null counts as unseen."""
+    """Replace values that the training rows do not hold; null counts as unseen.
+
+    ``unknown``: the marker, by default that of the column's kind.
+    """
     if not columns:
         return df
     vocab = cut(vocabulary(train, columns))
@@ -76,16 +90,22 @@ def map_unseen(
             inline[row["column"]].append(row["value"])
     order = df.columns
     for c in columns:
+        marker = F.lit(unseen_marker(df, c) if unknown is None else unknown)
         if c in inline:
             seen = F.coalesce(F.col(c).isin(sorted(inline[c])), F.lit(False)) if inline[c] else F.lit(False)
-            df = df.withColumn(c, F.when(seen, F.col(c)).otherwise(F.lit(unknown)))
+            df = df.withColumn(c, F.when(seen, F.col(c)).otherwise(marker))
             continue
         entries = vocab.filter(F.col("column") == c).select("value", F.lit(1).alias("_seen"))
-        df = lookup(df, c, entries, counted[c], small=small)
-        df = df.withColumn(c, F.when(F.col("_seen") == 1, F.col(c)).otherwise(F.lit(unknown))).drop("_seen")
+        df = lookup(df, c, entries, counted[c], small=small, row_key=row_key)
+        df = df.withColumn(c, F.when(F.col("_seen") == 1, F.col(c)).otherwise(marker)).drop("_seen")
     return df.select(*order)
 
 
+def _fill(df: DataFrame, column: str, keep_unseen: bool):
+    """What null counts as: the unseen marker, or 0 among numbers without a slot for it."""
+    return unseen_marker(df, column) if keep_unseen or _is_text(df, column) else 0
+
+
 def category_index(train: DataFrame, columns: Sequence[str], *, keep_unseen: bool = True) -> DataFrame:
     """Dense index per (column, value) in ascending order of value.
 
@@ -93,12 +113,13 @@ def category_index(train: DataFrame, columns: Sequence[str], *, keep_unseen: boo
     otherwise null counts as 0 and there is no extra slot.
     """
     filled = train.select(*[
-        F.coalesce(F.col(c), F.lit(UNSEEN if keep_unseen else 0)).alias(c) for c in columns
+        F.coalesce(F.col(c), F.lit(_fill(train, c, keep_unseen))).alias(c) for c in columns
     ])
     vocab = vocabulary(filled, columns)
     if keep_unseen:
-        extra = train.sparkSession.createDataFrame([(c, UNSEEN) for c in columns], "column string, value long")
-        vocab = vocab.union(extra).distinct()
+        extra = train.sparkSession.createDataFrame(
+            [(c, str(unseen_marker(train, c))) for c in columns], "column string, value string")
+        vocab = vocab.union(extra.withColumn("value", F.col("value").cast(vocab.schema["value"].dataType))).distinct()
     ranked = prefix_sums(cut(vocab.withColumn("one", F.lit(1))), "value", ["one"], by=["column"])
     return ranked.select("column", "value", F.col("one_before").cast("int").alias("index"))
 
@@ -112,6 +133,7 @@ def encode_categories(
     counted: dict[str, int] | None = None,
     small: int = SMALL_ROWS,
     suffix: str = "_idx",
+    row_key: str | None = None,
 ) -> DataFrame:
     """Add ``{column}_idx``.  ``unseen`` is "raise" (when the row is evaluated) or "zero".
 
@@ -119,10 +141,9 @@ def encode_categories(
     """
     counted = sizes(index) if counted is None else counted
     for c in columns:
-        fill = UNSEEN if unseen == "raise" else 0
-        df = df.withColumn("_key", F.coalesce(F.col(c), F.lit(fill)))
+        df = df.withColumn("_key", F.coalesce(F.col(c), F.lit(_fill(df, c, unseen == "raise"))))
         entries = index.filter(F.col("column") == c).select("value", F.col("index").alias("_index"))
-        df = lookup(df, "_key", entries, counted.get(c, 0), small=small)
+        df = lookup(df, "_key", entries, counted.get(c, 0), small=small, row_key=row_key)
         missing = (
             F.raise_error(F.concat(F.lit(f"Unseen value in '{c}': "), F.col(c).cast("string"))).cast("int")
             if unseen == "raise" else F.lit(0)

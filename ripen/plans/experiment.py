@@ -35,6 +35,7 @@ class ExperimentConfig:
     tune: bool = True
     seed: int = 42
     threads: int = 2
+    score_by: str = "mean"  # or "median": how a candidate's inner folds are summed up
     require_mature_test: bool = False  # only folds whose test labels are final in the data
     params: dict[str, Any] = field(default_factory=dict)
     tuning: dict[str, Any] = field(default_factory=dict)
@@ -47,6 +48,7 @@ class FoldResult:
     outcome: Outcome
     mask_stats: dict[str, Any]
     search: Search | None
+    note: str = ""
 
 
 @dataclass(frozen=True)
@@ -90,8 +92,8 @@ def run_fold(clean: Conformed, fold: Fold, config: ExperimentConfig,
     params, search = dict(config.params), None
     if config.tune:
         scorer = Scorer(clean.rows, fold, clean.cuts, spec_for(clean, config, params), config.model,
-                        config.inner_lengths, threads=config.threads)
-        last_best = previous.best_params if previous else None
+                        config.inner_lengths, how=config.score_by, threads=config.threads)
+        last_best = (previous.best_params or None) if previous else None
         if config.model == "rf":
             search = tune_forest(scorer, previous=last_best, **config.tuning)
         else:
@@ -101,7 +103,9 @@ def run_fold(clean: Conformed, fold: Fold, config: ExperimentConfig,
         params |= search.best_params
     outcome = fit_predict(config.model, prepared, fold, spec_for(clean, config, params))
     values = metrics.evaluate(outcome.predictions).first().asDict()
-    return FoldResult(fold, values, outcome, mask_stats(prepared, fold.train_end).first().asDict(), search)
+    untuned = search is not None and not search.best_params
+    return FoldResult(fold, values, outcome, mask_stats(prepared, fold.train_end).first().asDict(), search,
+                      "no inner fold could be scored: parameters are not tuned" if untuned else "")
 
 
 def run_experiment(clean: Conformed, config: ExperimentConfig) -> Report:

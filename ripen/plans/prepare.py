@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators import delays, history
-from ..operators.conform import EVENT, START
 from ..operators.maturity import add_masks, supervised
 from ..operators.running import HotKeys, find_hot_keys
 from ..operators.splits import window_slice
@@ -17,6 +16,15 @@ from ..session import SMALL_ROWS, store
 from .folds import Fold
 
 
+@dataclass(frozen=True)
+class Sampling:
+    """Shares of the rows without conversion, and then of all rows, that are kept."""
+
+    negative_share: float = delays.NEGATIVE_SHARE
+    row_share: float = delays.ROW_SHARE
+    seed: int = delays.SAMPLE_SEED
+
+
 @dataclass(frozen=True)
 class PreprocessConfig:
     """``log_start_epoch`` is the log's time zero; ``hot_rows`` the most rows of one user
@@ -25,9 +33,6 @@ class PreprocessConfig:
     log_start_epoch: int
     inner_edges: tuple[float, ...] = delays.INNER_EDGES
     late_cutoff: int = delays.LATE_CUTOFF
-    negative_share: float = delays.NEGATIVE_SHARE
-    row_share: float = delays.ROW_SHARE
-    seed: int = delays.SAMPLE_SEED
     hot_rows: int = 5_000_000
 
 
@@ -38,24 +43,24 @@ def with_history(raw: DataFrame, config: PreprocessConfig, *, hot: HotKeys | Non
     """
     timed = history.add_delay_and_times(raw, config.log_start_epoch)
     if hot is None:
-        hot = find_hot_keys(timed, "uid", START, config.hot_rows)
+        hot = find_hot_keys(timed, "uid", config.hot_rows)
     if hot.places is not None:
         timed = store(timed)  # slicing reads its input twice
     return history.add_user_history(timed, hot=hot)
 
 
-def with_buckets(intermediate: DataFrame, config: PreprocessConfig, *, sample: bool = True) -> DataFrame:
-    """Late cutoff, downsampling and delay buckets (the preprocessed table)."""
+def with_buckets(intermediate: DataFrame, config: PreprocessConfig, *, sampling: Sampling | None = None) -> DataFrame:
+    """Late cutoff and delay buckets (the preprocessed table); all rows unless ``sampling`` is given."""
     kept = delays.drop_late_conversions(intermediate, config.late_cutoff)
-    if sample:
+    if sampling is not None:
         kept = delays.downsample(
-            kept, negative_share=config.negative_share, row_share=config.row_share, seed=config.seed)
+            kept, negative_share=sampling.negative_share, row_share=sampling.row_share, seed=sampling.seed)
     edges = delays.bucket_edges(delays.horizon(kept), config.inner_edges)
     return delays.add_delay_buckets(kept, edges)
 
 
-def preprocess(raw: DataFrame, config: PreprocessConfig, *, sample: bool = True) -> DataFrame:
-    return with_buckets(with_history(raw, config), config, sample=sample)
+def preprocess(raw: DataFrame, config: PreprocessConfig, *, sampling: Sampling | None = None) -> DataFrame:
+    return with_buckets(with_history(raw, config), config, sampling=sampling)
 
 
 def prepare_fold(
@@ -74,6 +79,3 @@ def prepare_fold(
     masked = add_masks(sliced, fold.train_end, cuts, aux)
     return map_unseen(
         masked, supervised(masked, fold.train_end, any_head=any_head), categorical, small=small)
-
-
-__all__ = ["PreprocessConfig", "with_history", "with_buckets", "preprocess", "prepare_fold", "START", "EVENT"]

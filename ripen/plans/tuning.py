@@ -8,7 +8,7 @@ on the driver, whose jobs share the cluster.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 from typing import Any
@@ -57,20 +57,22 @@ class Search:
     trials: tuple[Trial, ...]
 
 
-def leaf_candidates(mode: str = "grid", *, seed: int = 42, previous: Mapping | None = None,
-                    grid: Sequence[int] = LEAF_GRID, draws: int = LEAF_DRAWS,
-                    bounds: tuple[int, int] = LEAF_RANGE) -> list[Params]:
-    """Smallest leaf sizes to try; the previous fold's best goes first if it is not among them."""
-    if mode == "grid":
-        values = list(grid)
-    elif mode == "random":
-        values = sorted(int(v) for v in
-                        np.random.RandomState(seed).randint(bounds[0], bounds[1] + 1, size=draws))
-    else:
-        raise ValueError(f"Unknown search mode '{mode}': choose 'grid' or 'random'.")
-    if previous and "min_samples_leaf" in previous and int(previous["min_samples_leaf"]) not in values:
-        values.insert(0, int(previous["min_samples_leaf"]))
-    return [{"min_samples_leaf": v} for v in values]
+def grid_leaves(grid: Sequence[int] = LEAF_GRID) -> list[Params]:
+    """Smallest leaf sizes to try, as listed."""
+    return [{"min_samples_leaf": int(size)} for size in grid]
+
+
+def drawn_leaves(rng: np.random.Generator, draws: int = LEAF_DRAWS, bounds: tuple[int, int] = LEAF_RANGE) -> list[Params]:
+    """Smallest leaf sizes to try, drawn from the range, small ones first."""
+    return grid_leaves(np.sort(rng.integers(bounds[0], bounds[1], size=draws, endpoint=True)))
+
+
+def warm_first(candidates: Sequence[Params], previous: Params | None, name: str = "min_samples_leaf") -> list[Params]:
+    """Candidates by value, each once; what was best before comes first unless it is among them."""
+    by_value = {c[name]: c for c in candidates}
+    start = {} if not previous or name not in previous else {int(previous[name]): {name: int(previous[name])}}
+    new = {value: c for value, c in start.items() if value not in by_value}
+    return [*new.values(), *by_value.values()]
 
 
 def draw_network(rng: np.random.Generator, with_aux: bool) -> Params:
@@ -104,8 +106,6 @@ class Scorer:
             (fold, store(prepare_fold(rows, fold, cuts, spec.categorical, aux=spec.aux)))
             for fold in inner_folds(outer, lengths)
         ]
-        if not self.folds:
-            raise ValueError("No inner fold fits into the outer training window.")
         self.results: list[tuple[int, int, float]] = []
         self.trials: list[Trial] = []
 
@@ -121,8 +121,10 @@ class Scorer:
         first = len(self.trials)
         jobs = [(first + i, params, fold, prepared)
                 for fold, prepared in self.folds for i, params in enumerate(candidates)]
-        if not jobs:
-            return []
+        if not jobs:  # no inner fold, or nothing to try
+            made = [Trial(first + i, dict(p), -math.inf) for i, p in enumerate(candidates)]
+            self.trials += made
+            return made
         with ThreadPool(self.threads) as pool:
             found = pool.map(inheritable_thread_target(self.spark)(self._one), jobs, chunksize=1)
         self.results += found
@@ -133,14 +135,20 @@ class Scorer:
         return made
 
     def best(self) -> Search:
-        """Highest score; the earlier candidate wins a tie."""
-        usable = [t for t in self.trials if not math.isnan(t.score)]
+        """Highest score; the earlier candidate wins a tie.  Without a usable score (no inner fold fits,
+        or none could be scored) nothing is tuned: no parameters, at minus infinity."""
+        usable = [t for t in self.trials if math.isfinite(t.score)]
+        if not usable:
+            return Search({}, -math.inf, tuple(self.trials))
         top = max(usable, key=lambda t: (t.score, -t.candidate))
         return Search(top.params, top.score, tuple(self.trials))
 
 
-def tune_forest(scorer: Scorer, *, mode: str = "grid", previous: Params | None = None, **options) -> Search:
-    scorer.score(leaf_candidates(mode, seed=scorer.spec.seed, previous=previous, **options))
+def tune_forest(scorer: Scorer, *, previous: Params | None = None, grid: Sequence[int] = LEAF_GRID,
+                draws: int | None = None, bounds: tuple[int, int] = LEAF_RANGE) -> Search:
+    """Score the grid, or ``draws`` seeded draws from the range instead."""
+    tried = grid_leaves(grid) if draws is None else drawn_leaves(np.random.default_rng(scorer.spec.seed), draws, bounds)
+    scorer.score(warm_first(tried, previous))
     return scorer.best()
 
 

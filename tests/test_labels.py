@@ -5,9 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from ripen.functions import hash_keep
 from ripen.operators import conform, delays, heads, history, maturity, shift, splits, vocabulary
 from ripen.plans.folds import Fold
-from ripen.plans.prepare import prepare_fold
+from ripen.plans.prepare import PreprocessConfig, Sampling, prepare_fold, preprocess
 
 DAY = 86_400
 EDGES = (0.0, DAY, 4 * DAY, 8 * DAY, 12 * DAY)
@@ -58,7 +59,7 @@ def test_horizon_and_cuts(spark):
         (0.0, DAY, 4 * DAY, 8 * DAY, 9 * DAY))
     assert delays.horizon(df) == 9 * DAY
     assert delays.read_cuts(df, 4) == (DAY, 4 * DAY, 8 * DAY, 9 * DAY)
-    with pytest.raises(ValueError, match="Expected 4"):
+    with pytest.raises(ValueError, match="Buckets 1 to 4"):
         delays.read_cuts(df.filter("conversion_delay > 10"), 4)
     with pytest.raises(ValueError, match="horizon"):
         delays.horizon(df.filter("conversion_delay > 1e9"))
@@ -217,3 +218,49 @@ def test_content_id_is_repeatable(spark):
     first = [r[0] for r in df.select(history.content_id("x", "y")).collect()]
     again = [r[0] for r in df.repartition(3).select(history.content_id("x", "y")).collect()]
     assert sorted(first) == sorted(again) and len(set(first)) == 2
+
+
+def test_small_shares_are_kept_exactly(spark):
+    rows = spark.range(1_000_000)
+    kept = rows.where(hash_keep(F.col("id"), 4e-5, 1)).count()
+    assert 15 <= kept <= 70
+    assert rows.where(hash_keep(F.col("id"), 0.0, 1)).count() == 0
+    assert rows.where(hash_keep(F.col("id"), 1.0, 1)).count() == 1_000_000
+    with pytest.raises(ValueError):
+        hash_keep(F.col("id"), 1.5, 1)
+
+
+def test_preprocessing_keeps_all_rows_unless_asked(spark):
+    day = 86_400
+    raw = spark.range(400).selectExpr(
+        "id AS impression_id", "id % 40 AS uid", f"id * {day // 10} AS timestamp", "cast(id % 4 = 0 AS int) AS conversion",
+        f"CASE WHEN id % 4 = 0 THEN id * {day // 10} + (1 + id % 11) * {day} ELSE -1 END AS conversion_timestamp")
+    config = PreprocessConfig(log_start_epoch=1_700_000_000)
+    assert preprocess(raw, config).count() == 400
+    assert preprocess(raw, config, sampling=Sampling(row_share=0.5)).count() < 300
+
+
+def test_text_and_mixed_categories(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 5), (2, "b", 6), (3, None, None), (4, "a", 7)], "impression_id long, site string, place int")
+    train = rows.where("impression_id in (1, 2)")
+    for small in (1_000_000, 0):
+        mapped = vocabulary.map_unseen(rows, train, ["site", "place"], small=small)
+        assert sorted(map(tuple, mapped.collect())) == [
+            (1, "a", 5), (2, "b", 6), (3, "__MISSING__", -1), (4, "a", -1)]
+        index = vocabulary.category_index(train, ["site", "place"])
+        coded = vocabulary.encode_categories(mapped, index, ["site", "place"], small=small)
+        found = {r["impression_id"]: (r["site_idx"], r["place_idx"]) for r in coded.collect()}
+        assert found == {1: (1, 1), 2: (2, 2), 3: (0, 0), 4: (1, 0)}
+
+
+def test_the_day_survives_conforming(spark, tmp_path):
+    rows = spark.range(40).selectExpr(
+        "id AS impression_id", "cast(id % 4 = 0 AS int) AS conversion", "timestamp'2024-01-01' + make_dt_interval(cast(id AS int)) AS timestamp_dt",
+        "timestamp'2024-02-01' AS conversion_timestamp_dt", "0 AS click", "array(0, 0, 0, 0) AS bucket_vec",
+        "named_struct('bucket_id', cast(1 + id % 4 AS int), 'lower_bound', 0D, 'upper_bound', cast(1 + id % 4 AS double)) AS bucket")
+    rows.withColumn("event_date", F.to_date("timestamp_dt")).write.partitionBy("event_date").parquet(str(tmp_path / "t"))
+    clean = conform.conform(spark.read.parquet(str(tmp_path / "t")))
+    sliced = splits.window_slice(clean.rows, dt.date(2024, 1, 3), dt.date(2024, 1, 5))
+    plan = sliced._jdf.queryExecution().toString()
+    assert sliced.count() == 2 and "event_date" in plan.split("PartitionFilters: [")[1].split("]")[0]

@@ -30,14 +30,13 @@ def test_inner_folds_end_inside_the_outer_window():
 
 
 def test_leaf_candidates():
-    assert [c["min_samples_leaf"] for c in tuning.leaf_candidates()] == list(tuning.LEAF_GRID)
-    warm = tuning.leaf_candidates(previous={"min_samples_leaf": 77})
+    grid = tuning.grid_leaves()
+    assert [c["min_samples_leaf"] for c in grid] == list(tuning.LEAF_GRID)
+    warm = tuning.warm_first(grid, {"min_samples_leaf": 77})
     assert warm[0] == {"min_samples_leaf": 77} and len(warm) == 7
-    assert len(tuning.leaf_candidates(previous={"min_samples_leaf": 50})) == 6
-    drawn = [c["min_samples_leaf"] for c in tuning.leaf_candidates("random", seed=4)]
+    assert len(tuning.warm_first(grid, {"min_samples_leaf": 50})) == 6
+    drawn = [c["min_samples_leaf"] for c in tuning.drawn_leaves(np.random.default_rng(4))]
     assert len(drawn) == 8 and drawn == sorted(drawn) and min(drawn) >= 50 and max(drawn) <= 300
-    with pytest.raises(ValueError, match="search mode"):
-        tuning.leaf_candidates("other")
 
 
 def test_warm_start_budget():
