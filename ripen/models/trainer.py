@@ -28,13 +28,13 @@ from .network import AdamW, Network, Shape, head_loss_gradient, initial, product
 
 # Settings of the networks; the machine has its own.
 DEFAULTS = {
+    "rows_per_task": 65_536,  # parameters are averaged over tasks once an epoch
     "batch_size": 2048, "learning_rate": 1e-3, "l2_weight_decay": 1e-5, "dropout_rate": 0.1,
     "deep_hidden": (256, 128, 128), "epochs": 15, "emb_dim": 4, "aux_weight": 0.1,
 }
 MACHINE_DEFAULTS = {**DEFAULTS, "deep_hidden": (512, 512), "epochs": 20, "emb_dim": 8, "aux_weight": 1.0}
 
 BUFFER_BATCHES = 16
-BATCHES_PER_TASK = 4
 SLICE = 1 << 16
 
 
@@ -148,7 +148,8 @@ def train(
     n_rows = rows.count()
     if not n_rows:
         raise ValueError("No rows to train on.")
-    tasks = max(1, min(8 * context.defaultParallelism, n_rows // (BATCHES_PER_TASK * settings["batch_size"])))
+    # From the rows alone, so that the fitted model does not depend on the cluster.
+    tasks = max(1, -(-n_rows // int(settings["rows_per_task"])))
     # Hashing the row key spreads the rows evenly; sorting by another hash fixes their order,
     # whatever order a retried shuffle delivers them in.
     data = cut(
