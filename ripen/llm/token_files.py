@@ -106,7 +106,8 @@ def write_ids(docs: DataFrame, folder: str | None = None, *, path: str | None =
     kind = "<u2" if encoder(path).tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else "<u4"
     n_parts = count_for(docs, total_bytes(docs, text_col), shard_bytes)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sorted_docs = texts.repartitionByRange(n_parts, F.col("id").asc_nulls_first(), F.col("text")).sortWithinPartitions(
+    # Ranges by id alone: their bounds are sampled to the driver, where no text should go.
+    sorted_docs = texts.repartitionByRange(n_parts, F.col("id").asc_nulls_first()).sortWithinPartitions(
         F.col("id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
     written = store(sorted_docs.mapInArrow(_write_shards(folder, path, end_id, kind), SHARDS))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
