@@ -221,7 +221,7 @@ def repeated(words: list[list[bytes]], starts: np.ndarray, firsts: np.ndarray, w
     return near[~(known_first[at] & (known_start[at] == near))], begins
 
 
-def _cut(width: int, gram: int, schema: pa.Schema, per_automaton: int):
+def _cut(width: int, gram: int, schema: pa.Schema, per_automaton: int, as_given: bool):
     def cut(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
@@ -237,11 +237,12 @@ def _cut(width: int, gram: int, schema: pa.Schema, per_automaton: int):
         np.add.at(step, starts + width, -1)
         all_gone = np.cumsum(step[:-1]) > 0
         n_removed, kept_text, spans = [], [], []
-        for own, begin in zip(words, begins.tolist()):
+        given = docs.column("text").cast(pa.binary()).take(pa.array(order, pa.int64())).to_pylist() if as_given else None
+        for i, (own, begin) in enumerate(zip(words, begins.tolist())):
             gone = all_gone[begin:begin + len(own)]
             if not gone.any():
                 n_removed.append(0)
-                kept_text.append(b" ".join(own))
+                kept_text.append(given[i] if as_given else b" ".join(own))
                 spans.append([])
                 continue
             edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))).reshape(-1, 2)
@@ -258,15 +259,16 @@ def _cut(width: int, gram: int, schema: pa.Schema, per_automaton: int):
 
 
 def cut_repeats(docs: DataFrame, *, width: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text",
-                bucket_bytes: int = BUCKET_BYTES, per_automaton: int = PHRASES_PER_AUTOMATON, with_text: bool = False) -> DataFrame:
-    """One row per document row: ``row`` (its columns, the text only ``with_text``), ``n_words``, ``n_removed``,
-    ``kept_text`` (the kept words joined by single blanks) and ``spans`` (removed ranges of words)."""
+                bucket_bytes: int = BUCKET_BYTES, per_automaton: int = PHRASES_PER_AUTOMATON, as_given: bool = False) -> DataFrame:
+    """One row per document row: ``row`` (its columns but the text), ``n_words``, ``n_removed``, ``kept_text`` (the
+    kept words joined by single blanks; with ``as_given``, texts that lose nothing as they are) and ``spans``
+    (removed ranges of words)."""
     prepare_session(docs.sparkSession)
     size = total_bytes(docs, text_col)
     n_buckets = count_for(docs, size, bucket_bytes)
     n_ranges = ranges_for(size, 6 * BYTES_PER_RANGE)
     n_places = ranges_for(size, BYTES_PER_RANGE)
-    rest = [F.col(f"`{c}`") for c in docs.columns if with_text or c != text_col]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(bucket_of(id_col, n_buckets).alias("bucket"), F.col(id_col).cast("long").alias("id"),
                        F.col(text_col).cast("string").alias("text"), F.struct(*rest).alias("row"))
     texts = rows.select("bucket", "id", "text")
@@ -281,7 +283,7 @@ def cut_repeats(docs: DataFrame, *, width: int = 20, gram: int = 8, id_col: str
         StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))),
     ])
     return by_bucket(rows).cogroup(by_bucket(phrases)).applyInArrow(
-        _cut(width, gram, to_arrow_schema(out), per_automaton), out)
+        _cut(width, gram, to_arrow_schema(out), per_automaton, as_given), out)
 
 
 def without_repeats(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
@@ -289,7 +291,6 @@ def without_repeats(docs: DataFrame, *, text_col: str = "text", **options) -> Da
 
     Documents that lose all their words go.
     """
-    done = cut_repeats(docs, text_col=text_col, with_text=True, **options)
-    text = F.when(F.col("n_removed") == 0, F.col(f"row.`{text_col}`")).otherwise(F.col("kept_text"))
+    done = cut_repeats(docs, text_col=text_col, as_given=True, **options)
     left = done.where("n_removed = 0 or n_removed < n_words")
-    return left.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
+    return left.select(*[F.col("kept_text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
