@@ -1,11 +1,13 @@
-"""Queries of the ten operators over the given tables, and the SQL twins of those SQL can express."""
+"""Queries of the operators over the given tables, and the SQL twins of those SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lengths, masked_lm, mixing, neighbours, packing, phrases, quality, suffixes, token_files
+from . import (
+    importance, jaccard, lengths, masked_lm, mixing, neighbours, packing, phrases, quality, spelling, suffixes, token_files,
+)
 from .oracles import ORACLES
 
 BASE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -67,6 +69,15 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 

@@ -105,9 +105,74 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id LEFT JOIN lost l ON w.doc_id = l.doc_id
 """
 
+
+def _crc(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, with ``tab.t`` the table of the reversed polynomial."""
+    digits = f"hex(encode({text}))"
+    codes = f"list_transform(range(1, len({digits}) // 2 + 1), lambda j: ('0x' || substr({digits}, (2 * j - 1)::BIGINT, 2))::UBIGINT)"
+    return (f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {codes}), "
+            "lambda c, b: xor(tab.t[((xor(c, b) & 255) + 1)::BIGINT], c >> 8)), 4294967295::UBIGINT)::BIGINT")
+
+
+_CRC_TABLE = ("SELECT list(list_reduce(list_prepend(i::UBIGINT, [0::UBIGINT for _ in range(8)]), "
+              "lambda c, b: xor(c >> 1, (c & 1) * 3988292384::UBIGINT)) ORDER BY i) AS t FROM range(256) r(i)")
+
+_DRAW = f"""
+WITH tab AS ({_CRC_TABLE}),
+texts AS (SELECT 0 AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+words AS (SELECT side, r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS (
+  SELECT side, r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words),
+coded AS (SELECT f, {_crc("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM features), tab),
+hashed AS (SELECT side, r, bucket FROM features JOIN coded USING (f)),
+counts AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM hashed GROUP BY bucket),
+sums AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM counts),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM counts, sums),
+weights AS (SELECT r, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM hashed JOIN gains USING (bucket) WHERE side = 0 GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+           / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights ON words.r = weights.r WHERE side = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS turn, count(*) FILTER (n_words >= 20) OVER () AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND turn <= 25 * able // 100 THEN turn END AS rank FROM ranked
+"""
+
+_VARIANTS = f"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+hashed AS (SELECT run, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs, tab),
+results AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, count(*) AS n FROM results WHERE length(word) >= 5 GROUP BY word HAVING count(*) >= 3),
+shorter AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS word, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN shorter b ON a.word = b.s
+  UNION SELECT b.word, a.word, a.n FROM words a JOIN shorter b ON a.word = b.s),
+best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS most FROM pairs GROUP BY word),
+tops AS (SELECT p.word, min(other) AS other FROM pairs p JOIN best b ON p.word = b.word AND p.other_n = b.most GROUP BY p.word),
+judged AS (
+  SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 2 * n THEN other END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word LEFT JOIN tops t ON w.word = t.word),
+steps AS (
+  SELECT word, word AS reached, 0 AS step FROM judged
+  UNION ALL SELECT s.word, j.form, step + 1 FROM steps s JOIN judged j ON s.reached = j.word WHERE j.form IS NOT NULL),
+ends AS (SELECT word, arg_max(reached, step) AS root FROM steps GROUP BY word)
+SELECT j.word, n, n_near, form, form_n, root FROM judged j JOIN ends e ON j.word = e.word
+"""
+
 ORACLES: dict[str, str] = {
     "op2_mix_sources": _MIX,
     "op3_ngram_jaccard_join": _LINKS,
     "op7_quality_rules": _QUALITY,
     "op8_substring_dedup": _REPEATS,
+    "op12_importance_resampling": _DRAW,
+    "op13_spelling_variants": _VARIANTS,
 }
