@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    importance, jaccard, lengths, masked_lm, mixing, neighbours, packing, phrases, quality, spelling, suffixes, token_files,
+    importance, jaccard, lengths, masked_lm, mixing, neighbours, packing, phrases, quality, spelling, suffixes,
+    token_files, toxicity,
 )
 from .oracles import ORACLES
 
@@ -69,6 +70,17 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+
+    def held_out(column: str):
+        return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, ~held_out("id")))
+    return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
