@@ -1,4 +1,4 @@
 from .common import ModelSpec, Outcome
-from .registry import MODELS, fit_predict
+from .registry import MODELS, Candidates, fit_predict
 
-__all__ = ["ModelSpec", "Outcome", "MODELS", "fit_predict"]
+__all__ = ["ModelSpec", "Outcome", "MODELS", "Candidates", "fit_predict"]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -76,6 +77,11 @@ def finish(
     return Outcome(cut(predictions), platt, notes or {})
 
 
+def stacked(predictions: Sequence[DataFrame]) -> DataFrame:
+    """Predictions of several candidates in one table, with ``candidate`` counting from 0."""
+    return reduce(DataFrame.union, [p.select(F.lit(i).alias("candidate"), "*") for i, p in enumerate(predictions)])
+
+
 def probability_of_one(vector: str = "probability") -> Column:
     from pyspark.ml.functions import vector_to_array
 

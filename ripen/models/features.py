@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..operators import numerics, vocabulary
 from ..session import cut
 
-# A model's own parameters travel to every executor; its width is checked before fitting.
+# The coefficients of a linear model and the statistics of a forest's nodes travel whole; the width
+# of one-hot features is checked before fitting.  Networks have no such limit.
 MAX_WIDTH = 5_000_000
 
 
@@ -59,7 +60,6 @@ def fit_dense(train: DataFrame, categorical, numeric, *, unseen: str = "raise")
     if categorical:
         index = cut(vocabulary.category_index(train, categorical, keep_unseen=unseen == "raise"))
         sizes = vocabulary.sizes(index)
-        check_width(sizes)
     return DenseEncoder(
         tuple(categorical), index, tuple(max(1, sizes.get(c, 0)) for c in categorical),
         numerics.fit_scales(train, numeric), unseen,

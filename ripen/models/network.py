@@ -1,8 +1,10 @@
 """The arithmetic of one minibatch: forward, backward and optimiser step in numpy.
 
-Everything lives in one flat parameter vector, which is what travels between executors.
-Three shapes are covered: a shared trunk with one output per head, a factorization machine
-next to a deep part, and two towers over shared embeddings.
+Parameters are of two kinds: a flat dense vector (layers, numeric factors) and rows, one per
+category value, with the value's embedding and, in a machine, its linear weight.  A minibatch
+gives gradients for the rows it holds only, and only those are stepped.  Three shapes are
+covered: a shared trunk with one output per head, a factorization machine next to a deep part,
+and two towers over shared embeddings.
 """
 
 from __future__ import annotations
@@ -30,11 +32,24 @@ class Shape:
         numeric = self.n_numeric * (self.emb if self.kind == "machine" else 1)
         return self.n_fields * self.emb + numeric
 
+    @property
+    def n_rows(self) -> int:
+        """Category values of all fields; row numbers count through the fields in turn."""
+        return sum(self.sizes)
+
+    @property
+    def row_width(self) -> int:
+        return self.emb + (self.kind == "machine")
+
+    @property
+    def offsets(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64) if self.sizes else np.zeros(0, np.int64)
+
     def layout(self) -> dict[str, tuple[int, ...]]:
-        cells = {"emb": (sum(self.sizes), self.emb)}
+        """The dense cells."""
+        cells: dict[str, tuple[int, ...]] = {}
         if self.kind == "machine":
-            cells |= {"w_cat": (sum(self.sizes),), "v_num": (self.n_numeric, self.emb),
-                      "w_num": (self.n_numeric,), "bias": (1,), "w_fm": (1, self.n_out)}
+            cells |= {"v_num": (self.n_numeric, self.emb), "w_num": (self.n_numeric,), "bias": (1,), "w_fm": (1, self.n_out)}
         towers = 2 if self.kind == "towers" else 1
         for tower in range(towers):
             wide = self.width
@@ -45,9 +60,12 @@ class Shape:
             cells |= {f"w{tower}_out": (wide, n_out), f"b{tower}_out": (n_out,)}
         return cells
 
-    def n_parameters(self) -> int:
+    def n_dense(self) -> int:
         return sum(int(np.prod(s)) for s in self.layout().values())
 
+    def n_parameters(self) -> int:
+        return self.n_dense() + self.n_rows * self.row_width
+
 
 def views(flat: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
     out, at = {}, 0
@@ -58,17 +76,17 @@ def views(flat: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
     return out
 
 
-def initial(shape: Shape, seed: int) -> np.ndarray:
-    """Uniform in +-1/sqrt(inputs) for layers; normal embeddings; a machine starts from
-    small embeddings and zero outputs."""
+def initial_dense(shape: Shape, seed: int) -> np.ndarray:
+    """Uniform in +-1/sqrt(inputs) for layers; a machine starts from small factors and zero
+    outputs."""
     rng = np.random.default_rng(seed)
-    flat = np.zeros(shape.n_parameters(), dtype=np.float32)
+    flat = np.zeros(shape.n_dense(), dtype=np.float32)
     fan_in = 1
     for name, cell in views(flat, shape).items():
         machine = shape.kind == "machine"
-        if name in ("emb", "v_num"):
-            cell[...] = rng.normal(0.0, 0.01 if machine else 1.0, cell.shape)
-        elif machine and (name in ("w_cat", "w_num", "bias", "w_fm") or name.endswith("_out")):
+        if name == "v_num":
+            cell[...] = rng.normal(0.0, 0.01, cell.shape)
+        elif machine and (name in ("w_num", "bias", "w_fm") or name.endswith("_out")):
             continue
         else:
             fan_in = cell.shape[0] if cell.ndim == 2 else fan_in
@@ -77,29 +95,57 @@ def initial(shape: Shape, seed: int) -> np.ndarray:
     return flat
 
 
+def _spread_bits(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def initial_rows(shape: Shape, seed: int, rows: np.ndarray) -> np.ndarray:
+    """Start of the given rows: normal embeddings, small in a machine, and no linear weight.
+
+    A function of seed and row number, so a row that no task has met needs no storage.
+    """
+    cell = rows.astype(np.uint64)[:, None] * np.uint64(shape.emb) + np.arange(shape.emb, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        bits = _spread_bits(cell * np.uint64(2) + np.uint64(seed & 0xFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15))
+        other = _spread_bits(cell * np.uint64(2) + np.uint64(1) + np.uint64(seed & 0xFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15))
+    share = ((bits >> np.uint64(11)).astype(float) + 1) / 2.0 ** 53
+    turn = (other >> np.uint64(11)).astype(float) / 2.0 ** 53
+    out = np.zeros((len(rows), shape.row_width), dtype=np.float32)
+    out[:, :shape.emb] = np.sqrt(-2 * np.log(share)) * np.cos(2 * np.pi * turn) * (0.01 if shape.kind == "machine" else 1.0)
+    return out
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60.0, 60.0)))
 
 
 class Network:
-    def __init__(self, shape: Shape, flat: np.ndarray, dropout: float = 0.0, rng=None):
+    """``table`` holds the rows (rows, row_width) that ``at`` of ``forward`` points into: all of them,
+    or those that a task meets."""
+
+    def __init__(self, shape: Shape, dense: np.ndarray, table: np.ndarray, dropout: float = 0.0, rng=None):
         self.shape, self.dropout, self.rng = shape, dropout, rng
-        self.p = views(flat, shape)
-        self.gradient = np.zeros_like(flat)
+        self.p = views(dense, shape)
+        self.table = table
+        self.gradient = np.zeros_like(dense)
         self.g = views(self.gradient, shape)
-        self.offsets = np.concatenate([[0], np.cumsum(shape.sizes)[:-1]]).astype(np.int64) if shape.sizes else None
+        #: Rows of ``table`` that the last minibatch held, and their gradients.
+        self.touched, self.row_gradient = np.zeros(0, np.int64), np.zeros((0, shape.row_width), dense.dtype)
 
-    def forward(self, xc: np.ndarray, xn: np.ndarray, training: bool = False) -> np.ndarray:
+    def forward(self, at: np.ndarray, xn: np.ndarray, training: bool = False) -> np.ndarray:
         s, p = self.shape, self.p
         rows = len(xn)
-        self.xn, self.at = xn, xc + self.offsets if s.n_fields else None
-        parts = [p["emb"][self.at]] if s.n_fields else []
+        self.xn, self.at = xn, at
+        parts = [self.table[at, :s.emb]] if s.n_fields else []
         if s.kind == "machine":
             fields = np.concatenate(parts + [xn[:, :, None] * p["v_num"]], axis=1)
             self.fields, self.total = fields, fields.sum(axis=1)
             fm = p["bias"] + xn @ p["w_num"]
             if s.n_fields:
-                fm = fm + p["w_cat"][self.at].sum(axis=1)
+                fm = fm + self.table[at, s.emb].sum(axis=1)
             fm = fm + 0.5 * (self.total ** 2 - (fields ** 2).sum(axis=1)).sum(axis=1)
             self.free = (np.abs(fm) < 20.0).astype(np.float32)
             self.fm = np.clip(fm, -20.0, 20.0)[:, None]
@@ -146,12 +192,18 @@ class Network:
             g["bias"] += d_fm.sum()
             g["w_num"] += self.xn.T @ d_fm
             g["v_num"] += (d_fields[:, s.n_fields:] * self.xn[:, :, None]).sum(axis=0)
+            d_emb = d_fields[:, :s.n_fields]
             if s.n_fields:
-                np.add.at(g["w_cat"], self.at, d_fm[:, None])
-                np.add.at(g["emb"], self.at, d_fields[:, :s.n_fields])
-        elif s.n_fields:
+                linear = np.broadcast_to(d_fm[:, None, None], (len(d_fm), s.n_fields, 1))
+                d_emb = np.concatenate([d_emb, linear], axis=2)
+        else:
             d_emb = dx[:, :s.n_fields * s.emb].reshape(len(dx), s.n_fields, s.emb)
-            np.add.at(g["emb"], self.at, d_emb)
+        if s.n_fields:
+            self.touched, inverse = np.unique(self.at, return_inverse=True)
+            flat = d_emb.reshape(-1, s.row_width)
+            inverse = inverse.reshape(-1)
+            self.row_gradient = np.stack([
+                np.bincount(inverse, flat[:, c], len(self.touched)) for c in range(s.row_width)], axis=1).astype(self.gradient.dtype)
 
 
 def head_loss_gradient(z, labels, weights, aux=None, aux_weight: float = 0.0) -> np.ndarray:
@@ -185,14 +237,16 @@ class AdamW:
     decay: float
     clip: float = 5.0
 
-    def step(self, theta, m, v, t: int, gradient) -> None:
-        norm = float(np.sqrt((gradient.astype(np.float64) ** 2).sum()))
-        if norm > self.clip:
-            gradient = gradient * np.float32(self.clip / (norm + 1e-6))
-        theta *= np.float32(1.0 - self.rate * self.decay)
-        m *= np.float32(0.9)
-        m += np.float32(0.1) * gradient
-        v *= np.float32(0.999)
-        v += np.float32(0.001) * gradient * gradient
-        scale = self.rate / (1.0 - 0.9 ** t)
-        theta -= np.float32(scale) * m / (np.sqrt(v / np.float32(1.0 - 0.999 ** t)) + np.float32(1e-8))
+    def step(self, cells, t: int, gradients) -> None:
+        """One step of every (theta, m, v) of ``cells`` by its gradient."""
+        norm = float(np.sqrt(sum((g.astype(np.float64) ** 2).sum() for g in gradients)))
+        shrink = np.float32(self.clip / (norm + 1e-6)) if norm > self.clip else np.float32(1.0)
+        scale = np.float32(self.rate / (1.0 - 0.9 ** t))
+        for (theta, m, v), gradient in zip(cells, gradients):
+            gradient = gradient * shrink
+            theta *= np.float32(1.0 - self.rate * self.decay)
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * gradient
+            v *= np.float32(0.999)
+            v += np.float32(0.001) * gradient * gradient
+            theta -= scale * m / (np.sqrt(v / np.float32(1.0 - 0.999 ** t)) + np.float32(1e-8))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from typing import Any
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +18,10 @@ from ..operators.maturity import MASK_TRAIN
 from ..plans.folds import Fold
 from ..session import cut, store
 from ..sources.tables import present
-from .common import ModelSpec, Outcome, finish, late_splits, probability_of_one
+from .common import ModelSpec, Outcome, finish, late_splits, probability_of_one, stacked
 from .features import DenseEncoder, dense_vector, fit_dense
 from .network import Shape
-from .trainer import DEFAULTS, MACHINE_DEFAULTS, Fitted, Layout, train as train_network
+from .trainer import DEFAULTS, MACHINE_DEFAULTS, Fitted, Job, Layout, train_many
 
 # Settings of the two boosted selection models.
 SELECTION_DEFAULTS = {
@@ -60,11 +64,51 @@ def _labels(spec: ModelSpec, risk_set: bool) -> dict[str, Column]:
     return columns
 
 
-def _fit(rows: DataFrame, encoder: DenseEncoder, kind: str, n_out: int, layout: Layout,
-         settings, seed: int, **options) -> Fitted:
-    shape = Shape(kind, encoder.sizes, len(encoder.numeric_columns), int(settings["emb_dim"]),
-                  _hidden(settings["deep_hidden"]), n_out)
-    return train_network(rows, shape, layout, settings, seed, **options)
+@dataclass(frozen=True)
+class Plan:
+    """A fold's encoded rows, ready for any number of settings: nothing here depends on what is tuned."""
+
+    kind: str
+    encoder: DenseEncoder
+    layout: Layout
+    train: DataFrame
+    cal: DataFrame | None
+    test: DataFrame
+    n_out: int
+    defaults: Mapping[str, Any]
+    #: Logit, uncalibrated probability and label of scored rows.
+    z: Column
+    raw: Column
+    label: Column
+    extra: Mapping[str, Column]
+    product: bool = False
+    notes: Mapping[str, Any] = field(default_factory=dict)
+
+    def job(self, spec: ModelSpec) -> Job:
+        settings = spec.settings(self.defaults)
+        shape = Shape(self.kind, self.encoder.sizes, len(self.encoder.numeric_columns), int(settings["emb_dim"]),
+                      _hidden(settings["deep_hidden"]), self.n_out)
+        return Job(shape, settings, spec.seed, self.product)
+
+    def outcome(self, fitted: Fitted, spec: ModelSpec) -> Outcome:
+        def score(df):
+            return None if df is None else fitted.logits(df)
+
+        return finish(score(self.cal), score(self.test), self.z, self.raw, self.label, slope=bool(spec.platt_slope),
+                      extra=self.extra, notes=self.notes)
+
+
+def _run(plan: Plan, spec: ModelSpec) -> Outcome:
+    return plan.outcome(train_many(plan.train, [plan.job(spec)], plan.layout)[0], spec)
+
+
+def fit_candidates(plan: Plan, specs: Sequence[ModelSpec]) -> DataFrame:
+    """``candidate, impression_id, y, p``: test predictions of every spec, all trained together."""
+    fitted = train_many(plan.train, [plan.job(s) for s in specs], plan.layout)
+    if plan.cal is None:
+        return stacked([
+            f.logits(plan.test).select("impression_id", plan.label.cast("int").alias("y"), plan.raw.alias("p")) for f in fitted])
+    return stacked([plan.outcome(f, s).predictions.select("impression_id", "y", "p") for f, s in zip(fitted, specs)])
 
 
 def _encoded(rows: DataFrame, train: DataFrame, spec: ModelSpec, unseen: str) -> tuple[DataFrame, DenseEncoder]:
@@ -74,11 +118,17 @@ def _encoded(rows: DataFrame, train: DataFrame, spec: ModelSpec, unseen: str) ->
     return store(encoder.apply(rows)), encoder
 
 
-def _heads_outcome(fitted: Fitted, cal, test, spec: ModelSpec) -> Outcome:
-    """Score, aggregate the heads' hazards where there are several, and calibrate."""
-    def score(df):
-        return None if df is None else fitted.logits(df)
+def _heads_plan(rows, fold, spec, *, kind, defaults, unseen, risk_set) -> Plan:
+    pick = splits.train_multi if spec.n_heads > 1 else splits.train_single
+    rows, encoder = _encoded(rows, pick(rows, fold.train_end), spec, unseen)
+    train = pick(rows, fold.train_end)
+    cal, test = late_splits(rows, fold, spec.calibrate)
+    splits.require_rows(train=train, test=test)
+    return _plan_of(train.withColumns(_labels(spec, risk_set)), cal, test, encoder, spec, kind, defaults)
+
 
+def _plan_of(labelled, cal, test, encoder, spec, kind, defaults) -> Plan:
+    """The heads' hazards are aggregated where there are several."""
     if spec.n_heads == 1:
         z, raw, label = F.col("z1"), sigmoid(F.col("z1")), F.col(TARGET)
     else:
@@ -88,59 +138,50 @@ def _heads_outcome(fitted: Fitted, cal, test, spec: ModelSpec) -> Outcome:
     extra = {}
     if spec.aux:
         extra = {"aux_y": F.col(spec.aux), "aux_p": sigmoid(F.col(f"z{spec.n_heads + 1}"))}
-    return finish(score(cal), score(test), z, raw, label, slope=bool(spec.platt_slope), extra=extra)
+    return Plan(kind, encoder, _layout(encoder, spec.n_heads, bool(spec.aux)), labelled, cal, test,
+                spec.n_heads + bool(spec.aux), defaults, z, raw, label, extra)
 
 
-def _multi_mode(rows, fold, spec, *, kind, defaults, unseen, risk_set) -> Outcome:
-    settings = spec.settings(defaults)
-    pick = splits.train_multi if spec.n_heads > 1 else splits.train_single
-    rows, encoder = _encoded(rows, pick(rows, fold.train_end), spec, unseen)
-    train = pick(rows, fold.train_end)
-    cal, test = late_splits(rows, fold, spec.calibrate)
-    splits.require_rows(train=train, test=test)
-    layout = _layout(encoder, spec.n_heads, bool(spec.aux))
-    labelled = train.withColumns(_labels(spec, risk_set))
-    fitted = _fit(labelled, encoder, kind, spec.n_heads + bool(spec.aux), layout, settings, spec.seed)
-    return _heads_outcome(fitted, cal, test, spec)
+def plan_trunk(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Plan:
+    """Heads learn from labels that are final and still at risk."""
+    return _heads_plan(rows, fold, spec, kind="trunk", defaults=DEFAULTS, unseen="raise", risk_set=True)
 
 
 def trunk_network(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Outcome:
-    """Shared trunk: one head or one hazard per delay bucket, with or without a second task.
+    """Shared trunk: one head or one hazard per delay bucket, with or without a second task."""
+    return _run(plan_trunk(rows, fold, spec), spec)
 
-    Heads learn from labels that are final and still at risk.
-    """
-    return _multi_mode(rows, fold, spec, kind="trunk", defaults=DEFAULTS, unseen="raise", risk_set=True)
+
+def plan_machine(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Plan:
+    return _heads_plan(rows, fold, spec, kind="machine", defaults=MACHINE_DEFAULTS, unseen="zero", risk_set=False)
 
 
 def deep_fm(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Outcome:
     """Factorization machine plus deep part in the same four modes, without risk sets."""
-    return _multi_mode(rows, fold, spec, kind="machine", defaults=MACHINE_DEFAULTS, unseen="zero",
-                       risk_set=False)
+    return _run(plan_machine(rows, fold, spec), spec)
 
 
-def esmm(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Outcome:
-    """Click and conversion towers; the product is fitted to and predicts the conversion
-    (Ma et al., 2018)."""
+def plan_towers(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Plan:
     if spec.n_heads != 1:
         raise ValueError("The entire-space model has a single head.")
     if not spec.aux:
         raise ValueError("The entire-space model needs the click column as second task.")
-    settings = spec.settings(DEFAULTS)
     rows, encoder = _encoded(rows, splits.train_single(rows, fold.train_end), spec, "raise")
     train = splits.train_single(rows, fold.train_end)
     cal, test = late_splits(rows, fold, spec.calibrate)
     splits.require_rows(train=train, test=test)
     organic = numerics.organic_share(train, target=TARGET, aux=spec.aux).first()[0]
-    layout = _layout(encoder, 1, True)
     labelled = train.withColumns({"y1": F.col(TARGET), "w1": F.lit(1.0), "aux_y": F.col(spec.aux)})
-    fitted = _fit(labelled, encoder, "towers", 2, layout, settings, spec.seed, product=True)
     p = heads.click_and_convert_probability(F.col("z1"), F.col("z2"))
-    return finish(
-        None if cal is None else fitted.logits(cal), fitted.logits(test),
-        logit(p, 1e-12), p, F.col(TARGET), slope=bool(spec.platt_slope),
-        extra={"aux_y": F.col(spec.aux), "aux_p": sigmoid(F.col("z1"))},
-        notes={"organic_share": organic},
-    )
+    return Plan("towers", encoder, _layout(encoder, 1, True), labelled, cal, test, 2, DEFAULTS, logit(p, 1e-12), p,
+                F.col(TARGET), {"aux_y": F.col(spec.aux), "aux_p": sigmoid(F.col("z1"))}, product=True,
+                notes={"organic_share": organic})
+
+
+def esmm(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Outcome:
+    """Click and conversion towers; the product is fitted to and predicts the conversion
+    (Ma et al., 2018)."""
+    return _run(plan_towers(rows, fold, spec), spec)
 
 
 def stratified_holdout(df: DataFrame, label: str, share: float, seed) -> DataFrame:
@@ -166,7 +207,7 @@ def _selection_model(table: DataFrame, columns: list[str], settings, seed: int):
     return booster.fit(encoded)
 
 
-def fsiw(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Outcome:
+def plan_weighted(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Plan:
     """All rows before the end of training, weighted by two selection models."""
     if spec.n_heads != 1:
         raise ValueError("Importance weighting has a single head.")
@@ -196,6 +237,9 @@ def fsiw(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Outcome:
         "y1": F.col(shift.OBSERVED),
         "w1": shift.importance_weight(F.col("p_positive"), F.col("p_negative")),
     })
-    layout = _layout(encoder, 1, False)
-    fitted = _fit(weighted, encoder, "trunk", 1, layout, settings, spec.seed)
-    return _heads_outcome(fitted, cal, test, spec)
+    return _plan_of(store(weighted.select("impression_id", *encoder.columns, "y1", "w1")), cal, test, encoder, spec, "trunk", settings)
+
+
+def fsiw(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Outcome:
+    """A trunk on importance-weighted rows."""
+    return _run(plan_weighted(rows, fold, spec), spec)

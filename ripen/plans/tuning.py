@@ -1,8 +1,8 @@
 """Hyperparameter search over inner rolling folds.
 
-Each inner fold is prepared and written once; all candidates then read it, so preparation
-costs folds instead of folds x candidates.  Candidates of a fold run from a small thread pool
-on the driver, whose jobs share the cluster.
+Each inner fold is prepared, encoded and written once, whatever the number of candidates.  All
+networks of a fold train together, a Spark job per epoch for all of them, and their losses are one
+aggregate.  Folds run from a small thread pool on the driver, whose jobs share the cluster.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
-from ..models import ModelSpec, fit_predict
+from ..models import Candidates, ModelSpec
 from ..operators.metrics import candidate_scores, loss_metrics
-from ..session import store
+from ..session import discard, store
 from .folds import Fold, inner_folds
 from .prepare import prepare_fold
 
@@ -96,37 +96,36 @@ def draw_network(rng: np.random.Generator, with_aux: bool) -> Params:
 
 
 class Scorer:
-    """Scores candidates on the inner folds of an outer fold, preparing each fold once."""
+    """Scores candidates on the inner folds of an outer fold, encoding each fold once."""
 
     def __init__(self, rows: DataFrame, outer: Fold, cuts, spec: ModelSpec, model: str,
                  lengths: Sequence[int], *, how: str = "mean", threads: int = 2):
         self.spark: SparkSession = rows.sparkSession
         self.model, self.spec, self.how, self.threads = model, spec, how, threads
-        self.folds = [
-            (fold, store(prepare_fold(rows, fold, cuts, spec.categorical, aux=spec.aux)))
-            for fold in inner_folds(outer, lengths)
-        ]
+        self.folds: list[tuple[Fold, Candidates]] = []
+        for fold in inner_folds(outer, lengths):
+            prepared = store(prepare_fold(rows, fold, cuts, spec.categorical, aux=spec.aux))
+            self.folds.append((fold, Candidates(model, prepared, fold, spec)))
+            discard(prepared)  # what candidates read is encoded
         self.results: list[tuple[int, int, float]] = []
         self.trials: list[Trial] = []
 
-    def _one(self, job) -> tuple[int, int, float]:
-        candidate, params, fold, prepared = job
-        spec = ModelSpec(**{**self.spec.__dict__, "params": {**self.spec.params, **params}})
-        outcome = fit_predict(self.model, prepared, fold, spec)
-        rce = loss_metrics(outcome.predictions).first()["rce"]
-        return candidate, fold.fold_id, float(rce)
+    def _on_fold(self, job) -> list[tuple[int, int, float]]:
+        first, candidates, fold, encoded = job
+        specs = [ModelSpec(**{**self.spec.__dict__, "params": {**self.spec.params, **p}}) for p in candidates]
+        losses = loss_metrics(encoded.predictions(specs), by=["candidate"]).select("candidate", "rce").collect()
+        return [(first + r["candidate"], fold.fold_id, float(r["rce"])) for r in losses]
 
     def score(self, candidates: Sequence[Params]) -> list[Trial]:
         """Mean (or median) relative cross entropy of each candidate."""
         first = len(self.trials)
-        jobs = [(first + i, params, fold, prepared)
-                for fold, prepared in self.folds for i, params in enumerate(candidates)]
-        if not jobs:  # no inner fold, or nothing to try
+        if not self.folds or not candidates:
             made = [Trial(first + i, dict(p), -math.inf) for i, p in enumerate(candidates)]
             self.trials += made
             return made
+        jobs = [(first, candidates, fold, encoded) for fold, encoded in self.folds]
         with ThreadPool(self.threads) as pool:
-            found = pool.map(inheritable_thread_target(self.spark)(self._one), jobs, chunksize=1)
+            found = [r for some in pool.map(inheritable_thread_target(self.spark)(self._on_fold), jobs, chunksize=1) for r in some]
         self.results += found
         table = self.spark.createDataFrame(found, "candidate int, fold_id int, rce double")
         scores = {r["candidate"]: r["score"] for r in candidate_scores(table, self.how).collect()}

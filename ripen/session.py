@@ -84,6 +84,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 _STORED: list[str] = []
+_BUCKETED: dict[str, str] = {}
 
 
 def store(df: DataFrame) -> DataFrame:
@@ -95,19 +96,43 @@ def store(df: DataFrame) -> DataFrame:
     folder = shared_folder(df.sparkSession, "table")
     df.write.parquet(folder)
     _STORED.append(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    stored = df.sparkSession.read.schema(df.schema).parquet(folder)
+    stored._ripen_folder = folder
+    return stored
+
+
+def store_in_buckets(df: DataFrame, n: int, column: str) -> DataFrame:
+    """As ``store``, one file per bucket of ``column``: grouping or joining by it later moves no row."""
+    spark = df.sparkSession
+    folder, name = shared_folder(spark, "buckets"), f"ripen_{uuid.uuid4().hex}"
+    df.repartition(n, column).write.format("parquet").bucketBy(n, column).option("path", folder).saveAsTable(name)
+    _STORED.append(folder)
+    _BUCKETED[folder] = name
+    return spark.table(name)
 
 
 def stored_mark() -> int:
     return len(_STORED)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    if folder in _BUCKETED:
+        spark.sql(f"DROP TABLE IF EXISTS {_BUCKETED.pop(folder)}")
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(spark: SparkSession, mark: int) -> None:
     """Delete the tables stored since ``mark``."""
-    context = spark.sparkContext
     while len(_STORED) > mark:
-        path = context._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _STORED.pop())
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete one stored table, whose readers are done."""
+    _STORED.remove(stored._ripen_folder)
+    _delete(stored.sparkSession, stored._ripen_folder)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
