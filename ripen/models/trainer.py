@@ -19,12 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -175,10 +175,13 @@ class _Narrow:
         state = self.state
 
         def task(frames):
+            first = next((f for f in frames if len(f)), None)
+            if first is None:
+                return
             dense, table, steps = state.value
             offsets = job.shape.offsets
-            yield _epoch(job, layout, number, frames, dense.copy(), table.copy(), lambda xc: xc + offsets,
-                         TaskContext.get().partitionId(), epoch, steps)
+            yield _epoch(job, layout, number, chain([first], frames), dense.copy(), table.copy(), lambda xc: xc + offsets,
+                         int(first["part"].iloc[0]), epoch, steps)
 
         return self.data.mapInPandas(task, RETURNED)
 
@@ -293,7 +296,7 @@ class Fitted:
         n_parts = max(1, -(-df.count() // rows_per_part))
         # By its values, so that a task that runs again deals them alike.
         dealt = df.withColumn("part", F.pmod(F.xxhash64(*layout.index, *layout.numeric, F.col(df.columns[0])), F.lit(n_parts)).cast("int"))
-        needed = _met_rows(dealt, shape, layout).join(self.table, "row", "left")
+        needed = _met_rows(dealt, shape, layout).select(F.col("part").alias("_part"), "row").join(self.table, "row", "left")
         fields = [*df.schema.fields, *[_double(z) for z in names]]
 
         def score(own, rows):
@@ -309,7 +312,7 @@ class Fitted:
                 own = own.append_column(name, pa.array(z[:, k]))
             return own
 
-        return dealt.groupBy("part").cogroup(needed.groupBy("part")).applyInArrow(score, T.StructType(fields))
+        return dealt.groupBy("part").cogroup(needed.groupBy("_part")).applyInArrow(score, T.StructType(fields))
 
 
 def _double(name: str) -> T.StructField:
@@ -344,10 +347,11 @@ def train_many(rows: DataFrame, jobs: Sequence[Job], layout: Layout, *, key: str
     order = F.xxhash64(F.lit(first.seed), key)
     wide = [is_wide(j.shape) for j in jobs]
     narrow_data = wide_data = met = None
+    part = F.pmod(F.hash(key), F.lit(tasks)).cast("int")  # as a hash partitioning deals them
     if not all(wide):
-        narrow_data = cut(rows.select(key, *columns).repartition(tasks, key).sortWithinPartitions(order).drop(key))
+        narrow_data = cut(
+            rows.select(key, part.alias("part"), *columns).repartition(tasks, key).sortWithinPartitions(order).drop(key))
     if any(wide):
-        part = F.pmod(F.hash(key), F.lit(tasks)).cast("int")  # as a hash partitioning deals them
         wide_data = store_in_buckets(rows.select(part.alias("part"), order.alias("_order"), *columns), tasks, "part")
         met = store(_met_rows(wide_data, jobs[wide.index(True)].shape, layout))
     nets = [_Wide(i, j, layout, wide_data, met) if w else _Narrow(i, j, layout, narrow_data)
