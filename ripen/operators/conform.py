@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import zeros
@@ -40,6 +40,11 @@ class Conformed:
     numeric: tuple[str, ...]
 
 
+def _category(df: DataFrame, column: str, is_text: bool) -> Column:
+    kind, missing = ("string", "") if is_text else ("int", 0)
+    return F.coalesce(F.col(column).cast(kind), F.lit(missing)).alias(column)
+
+
 def conform(
     df: DataFrame,
     *,
@@ -48,10 +53,12 @@ def conform(
     aux: str | None = "click",
     n_buckets: int = 4,
     heads: Sequence[str] = (HEADS,),
+    texts: Sequence[str] = (),
 ) -> Conformed:
     """Required columns are checked, optional features intersected with the schema; casts
     and null handling (category -> 0, head vector -> zeros, numerics stay null) are one
-    projection, so unused columns never leave the scan."""
+    projection, so unused columns never leave the scan.  Categories named in ``texts`` stay
+    texts, null as an empty one."""
     needed = [TARGET, START, ROW_ID, EVENT, *heads] + ([aux] if aux else [])
     require_columns(df, needed)
     cats, nums = present(df, categorical), present(df, numeric)
@@ -64,7 +71,7 @@ def conform(
     ]
     if aux:
         columns.append(F.col(aux).cast("int").alias(aux))
-    columns += [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in cats]
+    columns += [_category(df, c, c in texts) for c in cats]
     columns += [F.col(c).cast("double").alias(c) for c in nums]
     columns += [F.coalesce(F.col(h), zeros(n_buckets)).alias(h) for h in heads]
     if DAY_COLUMN in df.columns:  # not a feature: it prunes files of a table laid out by day

@@ -1,94 +1,105 @@
 """Global order without a global task: prefix sums, exact quantiles, exact top-k.
 
-An ordered window without partitions sends every row to one task.  These operators cut the
-ordered domain at approximate quantiles, work inside the pieces, and add the accumulated
-totals of the pieces, of which there are few.
+An ordered window without partitions sends every row to one task.  These operators range-partition
+the ordered domain, whatever its type, work inside the pieces, and add the accumulated totals of the
+pieces, of which there are few.  A piece that turned out too large is cut again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bround_share
-from ..session import SMALL_ROWS, cut, small_side
+from ..session import SMALL_ROWS, small_side, store_measured
 
 PIECE = "_piece"
-# Quantile sketches are merged in one task, so their number of cuts is bounded; pieces then
-# grow in proportion to the data.
-MOST_PIECES = 4096
+FRAME = (Window.unboundedPreceding, -1)
 
 
-def cut_points(df: DataFrame, column: str, cuts: Sequence[float], output: str) -> DataFrame:
-    """Number of cut points at or below ``column`` (binary search inside the JVM)."""
-    cuts = sorted(set(float(c) for c in cuts))
-    if not cuts:
-        return df.withColumn(output, F.lit(0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol=column, outputCol=output).transform(df)
-    return bucketed.withColumn(output, F.col(output).cast("int"))
+def _groups(by: Sequence[str]) -> list:
+    return list(by) or [F.lit(1)]
 
 
-def measure(df: DataFrame, groups: Sequence[str] = ()) -> tuple[int, int]:
-    """Rows and (approximate) groups."""
-    count = F.approx_count_distinct(F.struct(*groups)) if groups else F.lit(1)
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(count) if not groups else count).first()
-    return row[0], row[1] or 0
+def range_pieces(df: DataFrame, by: Sequence[str], order: Sequence[Column], measures: Sequence[str], n_rows: int,
+                 max_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """``df`` with its ``_piece``, totals per group and piece, and the number of totals.
+
+    A piece is a path: its place in the first cut, then in a second one where it had more than
+    ``max_rows`` rows, and so on; paths compare as their pieces do.  Rows must differ in group or
+    order.  Both tables are stored, so the piece of a row is fixed.
+    """
+    spark = df.sparkSession
+
+    def cut_up(rows, n_pieces, path):
+        ranged = rows.repartitionByRange(n_pieces, *([path] if path is not None else []), *[F.col(c) for c in by], *order)
+        own = F.array(F.spark_partition_id())
+        return ranged.withColumn(PIECE, own if path is None else F.concat(PIECE, own))
+
+    def totals_of(ranged):
+        return store_measured(
+            ranged.groupBy(*by, PIECE).agg(*[F.sum(m).alias(m) for m in measures], F.count(F.lit(1)).alias("_rows")),
+            n=F.count(F.lit(1)), largest=F.max("_rows"))
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged, _ = store_measured(cut_up(df, max(least, -(-2 * n_rows // max_rows)), None), n=F.count(F.lit(1)))
+    totals, told = totals_of(ranged)
+    while (told["largest"] or 0) > max_rows:
+        large = totals.groupBy(PIECE).agg(F.sum("_rows").alias("_rows")).where(F.col("_rows") > max_rows)
+        n_large, n_held = large.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+        marked = small_side(large.select(PIECE), n_large)
+        again = cut_up(ranged.join(marked, PIECE, "left_semi"), 2 * n_large + -(-4 * n_held // max_rows), F.col(PIECE))
+        before = told["largest"]
+        ranged, _ = store_measured(ranged.join(marked, PIECE, "left_anti").unionByName(again), n=F.count(F.lit(1)))
+        totals, told = totals_of(ranged)
+        if told["largest"] >= before:
+            raise ValueError("Rows that are equal in group and order cannot be cut into pieces.")
+    return ranged, totals, told["n"]
 
 
 def prefix_sums(
     df: DataFrame,
-    column: str,
+    column: str | Sequence[str],
     measures: Sequence[str],
     *,
     by: Sequence[str] = (),
     descending: bool = False,
     max_rows: int = SMALL_ROWS,
-    size: tuple[int, int] | None = None,
+    n_rows: int | None = None,
+    totals: bool = False,
 ) -> DataFrame:
-    """Exclusive prefix sums ``{measure}_before`` in the order of ``column``.
+    """Exclusive prefix sums ``{measure}_before`` in the order of ``column`` (or several), and with
+    ``totals`` the group's ``{measure}_total``.
 
-    ``column`` must be numeric and unique within ``by``: callers aggregate to distinct
-    values first, which also folds any heavily repeated value into one row.  Up to
-    ``max_rows`` rows (counted, or given with the groups as ``size``) a window per group is
-    enough.
+    Any orderable type will do; values are unique within ``by``: callers aggregate to distinct
+    values first, which also folds any heavily repeated value into one row.  Up to ``max_rows``
+    rows (``n_rows``, counted unless it is known) a window per group is enough.
     """
-    direction = F.col(column).desc() if descending else F.col(column).asc()
-    frame = (Window.unboundedPreceding, -1)
-    groups = list(by)
-    n, n_groups = size or measure(df, groups)
-    if n <= max_rows:
-        window = Window.partitionBy(*(groups or [F.lit(1)])).orderBy(direction).rowsBetween(*frame)
-        return df.withColumns({
-            f"{m}_before": F.coalesce(F.sum(m).over(window), F.lit(0)) for m in measures
-        })
-
-    pieces = min(MOST_PIECES, 4 * -(-n // max_rows))
-    cuts = df.agg(F.percentile_approx(
-        F.col(column).cast("double"), [i / pieces for i in range(1, pieces)], 4 * pieces
-    )).first()[0]
-    cut_df = cut_points(df.withColumn("_x", F.col(column).cast("double")), "_x", cuts, PIECE).drop("_x")
-    totals = cut_df.groupBy(*groups, PIECE).agg(*[F.sum(m).alias(m) for m in measures])
-    order = F.col(PIECE).desc() if descending else F.col(PIECE).asc()
-    over_pieces = Window.partitionBy(*(groups or [F.lit(1)])).orderBy(order).rowsBetween(*frame)
-    carried = totals.select(
-        *groups, PIECE, *[F.sum(m).over(over_pieces).alias(f"_carry_{m}") for m in measures]
-    )
-    inside = Window.partitionBy(*groups, PIECE).orderBy(direction).rowsBetween(*frame)
-    local = cut_df.withColumns({f"{m}_before": F.sum(m).over(inside) for m in measures})
-    # ``carried`` has at most groups x pieces rows; ``local`` is partitioned by the join keys.
-    return (
-        local.join(small_side(carried, n_groups * pieces), [*groups, PIECE], "left")
-        .withColumns({
-            f"{m}_before": F.coalesce(F.col(f"{m}_before"), F.lit(0))
-            + F.coalesce(F.col(f"_carry_{m}"), F.lit(0))
-            for m in measures
-        })
-        .select(*df.columns, *[f"{m}_before" for m in measures])
-    )
+    columns = [column] if isinstance(column, str) else list(column)
+    order = [F.col(c).desc() if descending else F.col(c).asc() for c in columns]
+    n_rows = df.count() if n_rows is None else n_rows
+    if n_rows <= max_rows:
+        whole = Window.partitionBy(*_groups(by))
+        window = whole.orderBy(*order).rowsBetween(*FRAME)
+        out = df.withColumns({f"{m}_before": F.coalesce(F.sum(m).over(window), F.lit(0)) for m in measures})
+        return out.withColumns({f"{m}_total": F.sum(m).over(whole) for m in measures}) if totals else out
+
+    ranged, per_piece, n_totals = range_pieces(df, by, order, measures, n_rows, max_rows)
+    whole = Window.partitionBy(*_groups(by))
+    earlier = whole.orderBy(PIECE).rowsBetween(*FRAME)
+    carried = per_piece.select(
+        *[F.col(c).alias(f"_side_{c}") for c in (*by, PIECE)],
+        *[F.sum(m).over(earlier).alias(f"_carry_{m}") for m in measures],
+        *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures if totals])
+    inside = Window.partitionBy(*by, PIECE).orderBy(*order).rowsBetween(*FRAME)
+    local = ranged.withColumns({f"{m}_before": F.sum(m).over(inside) for m in measures})
+    same = [F.col(c).eqNullSafe(F.col(f"_side_{c}")) for c in (*by, PIECE)]
+    joined = local.join(small_side(carried, n_totals), same, "left")
+    before = {f"{m}_before": F.coalesce(f"{m}_before", F.lit(0)) + F.coalesce(f"_carry_{m}", F.lit(0)) for m in measures}
+    return joined.withColumns(before).select(
+        *df.columns, *before, *[f"{m}_total" for m in measures if totals])
 
 
 def score_table(
@@ -101,20 +112,11 @@ def score_table(
     row per task.
     """
     groups = list(by)
-    distinct = cut(predictions.groupBy(*groups, F.col(score).alias("p")).agg(
+    distinct, told = store_measured(predictions.groupBy(*groups, F.col(score).alias("p")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")
-    ))
-    size = measure(distinct, groups)
-    table = prefix_sums(distinct, "p", ["n", "pos"], by=groups, descending=descending,
-                        max_rows=max_rows, size=size)
-    if groups:
-        totals = distinct.groupBy(*groups).agg(
-            F.sum("n").alias("n_total"), F.sum("pos").alias("pos_total"))
-        return table.join(small_side(totals, size[1]), groups)
-    total = distinct.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).first()
-    return table.withColumns({
-        "n_total": F.lit(total["n"]).cast("long"), "pos_total": F.lit(total["pos"]).cast("long"),
-    })
+    ), n=F.count(F.lit(1)))
+    return prefix_sums(distinct, "p", ["n", "pos"], by=groups, descending=descending, max_rows=max_rows,
+                       n_rows=told["n"], totals=True)
 
 
 def exact_quantiles(

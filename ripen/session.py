@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Datasets up to this many rows may be broadcast or ranked inside one task; everything
@@ -101,6 +101,13 @@ def store(df: DataFrame) -> DataFrame:
     return stored
 
 
+def store_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """As ``store``, with aggregates over all rows that the writing job takes along."""
+    told = Observation()
+    stored = store(df.observe(told, *[m.alias(name) for name, m in measures.items()]))
+    return stored, told.get
+
+
 def store_in_buckets(df: DataFrame, n: int, column: str) -> DataFrame:
     """As ``store``, one file per bucket of ``column``: grouping or joining by it later moves no row."""
     spark = df.sparkSession

@@ -264,3 +264,63 @@ def test_the_day_survives_conforming(spark, tmp_path):
     sliced = splits.window_slice(clean.rows, dt.date(2024, 1, 3), dt.date(2024, 1, 5))
     plan = sliced._jdf.queryExecution().toString()
     assert sliced.count() == 2 and "event_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_numbers_keep_their_order_beside_texts(spark):
+    from ripen.operators import vocabulary
+
+    df = spark.createDataFrame([(10, "b", "10"), (2, "a", "9"), (1, None, "2")], "a int, t string, d string")
+    alone = vocabulary.category_index(df, ["a"]).collect()
+    for max_rows in (1_000_000, 2):
+        both = vocabulary.category_index(df, ["a", "t", "d"], max_rows=max_rows).collect()
+        index = {(r["column"], r["value"]): r["index"] for r in both}
+        assert [index["a", str(v)] for v in (-1, 1, 2, 10)] == [0, 1, 2, 3] == [
+            {r["value"]: r["index"] for r in alone}[v] for v in (-1, 1, 2, 10)]
+        assert [index["d", v] for v in ("10", "2", "9", "__MISSING__")] == [0, 1, 2, 3]
+
+
+def test_two_million_texts_are_indexed_in_few_jobs(spark):
+    from ripen.operators import vocabulary
+    from ripen.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    n = 2_000_000
+    df = spark.range(n).select(F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("c"))
+    spark.sparkContext.setJobGroup("index", "index")
+    index = vocabulary.category_index(df, ["c"])
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("index"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 8
+    wrong = index.where("value <> '__MISSING__' AND index <> cast(substr(value, 2) AS int) + 1")
+    assert wrong.isEmpty() and index.agg(F.count("*"), F.max("index")).first()[:] == (n + 1, n)
+
+
+def test_only_heavy_values_are_salted(spark):
+    from ripen.operators import vocabulary
+
+    n = 30_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, -5).when(F.col("id") % 31 == 1, None).otherwise(F.col("id")).alias("c"))
+    entries = df.select(F.col("c").alias("value")).distinct().where("value IS NOT NULL").withColumn("w", F.col("value") * 2)
+    assert vocabulary.heavy_values(df, ["c"]) == {"c": [-5]}
+    left, salted = vocabulary.salted_sides(df, "c", entries, [-5], "id")
+    assert salted.count() == entries.count() - 1 + vocabulary.SALTS
+    dealt = {r["_salt"]: r["count"] for r in left.where("c = -5").groupBy("_salt").count().collect()}
+    assert len(dealt) == vocabulary.SALTS and max(dealt.values()) < 2 * n / 3 / vocabulary.SALTS
+    out = vocabulary.lookup(df, "c", entries, entries.count(), small=10, row_key="id")
+    assert out.count() == n and out.where("NOT (w <=> c * 2)").isEmpty()
+
+
+def test_text_categories_pass_through_conforming(spark):
+    from ripen.operators.conform import conform
+    from ripen.plans.prepare import prepare_fold
+    from ripen.plans.folds import Fold
+
+    rows = [(i, dt.datetime(2024, 1, 1 + i), 0, None, 0, [0, 0, 0, 0], [None, "shop", "news"][i % 3], 7) for i in range(6)]
+    df = spark.createDataFrame(rows, "impression_id int, timestamp_dt timestamp, conversion int, conversion_timestamp_dt timestamp, "
+                                     "click int, bucket_vec array<int>, cat1 string, campaign int")
+    df = df.withColumn("bucket", F.expr("named_struct('bucket_id', 1 + pmod(impression_id, 4), 'lower_bound', 0.0D, 'upper_bound', 1.0D * (1 + pmod(impression_id, 4)))"))
+    clean = conform(df, texts=["cat1"])
+    assert dict(clean.rows.dtypes)["cat1"] == "string"
+    fold = Fold(1, dt.date(2024, 1, 1), dt.date(2024, 1, 3), dt.date(2024, 1, 7))
+    found = {r.impression_id: r.cat1 for r in prepare_fold(clean.rows, fold, clean.cuts, clean.categorical).collect()}
+    assert found[0] == "" and found[1] == "shop" and found[2] == "__MISSING__" and found[4] == "shop"

@@ -202,3 +202,28 @@ def test_scales_of_degenerate_columns(spark):
     assert out.gone_z == 0.0 and out.gone_miss == 1 and out.same_z == 0.0
     odd = spark.createDataFrame([(0.0,)], "same double")
     assert numerics.add_scaled(odd, {"same": scales["same"]}).first().same_z == 0.0
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_prefix_sums_of_texts_cut_pieces_again(spark, descending):
+    """Texts and nulls are ordered, groups too, and pieces of more than 40 rows are cut until none is left."""
+    rng = random.Random(3)
+    texts = sorted({"".join(rng.choices("abé", k=rng.randint(0, 7))) for _ in range(600)})
+    rows = [(g, v, 1) for g in ("a", None) for v in [*texts, None]]
+    df = spark.createDataFrame(rows, "g string, x string, n long")
+    out = ranking.prefix_sums(df, "x", ["n"], by=["g"], descending=descending, max_rows=40, totals=True).collect()
+    order = [None, *sorted(texts, key=str.encode)]
+    place = {v: i for i, v in enumerate(order[::-1] if descending else order)}
+    assert {(r.g, r.x): r.n_before for r in out} == {(g, v): place[v] for g, v, _ in rows}
+    assert {r.n_total for r in out} == {len(order)} and len(out) == len(rows)
+
+
+def test_a_large_piece_is_cut_again(spark):
+    df = spark.range(5000).select(F.col("id").alias("x"), F.lit(1).alias("n"))
+    _, totals, n = ranking.range_pieces(df, [], [F.col("x").asc()], ["n"], 40, 100)
+    rows = totals.orderBy("_piece").collect()
+    assert n == len(rows) and max(r["_rows"] for r in rows) <= 100 and sum(r["n"] for r in rows) == 5000
+    assert {len(r["_piece"]) for r in rows} == {2}  # 8 pieces for 40 expected rows, all of them cut again
+    same = spark.range(500).select(F.lit(1).alias("x"), F.lit(1).alias("n"))
+    with pytest.raises(ValueError, match="equal"):
+        ranking.range_pieces(same, [], [F.col("x").asc()], ["n"], 40, 100)
