@@ -133,6 +133,24 @@ newton(i, a, b) AS (
 platt AS (SELECT a, b FROM newton WHERE i = {steps})"""
 
 
+def _platt_groups(rows: str, by: tuple[str, ...], slope: bool, steps: int = 25) -> str:
+    """Newton's method for every group of ``rows`` (by, x, y) at once."""
+    keys, same = ", ".join(by), " AND ".join(f"n.{c} = r.{c}" for c in by)
+    p = _sig("a * x + b")
+    det = "(haa * hbb - hab * hab)"
+    da = f"(hbb * ga - hab * gb) / {det}" if slope else "0.0"
+    db = f"(haa * gb - hab * ga) / {det}" if slope else "gb / hbb"
+    return f"""pc AS ({rows}),
+newton AS (
+ SELECT {keys}, CASE WHEN min(y) < max(y) THEN 0 ELSE {steps} END AS i, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM pc GROUP BY {keys}
+ UNION ALL
+ SELECT {keys}, i + 1, a - {da}, b - {db} FROM (
+  SELECT {", ".join(f"n.{c}" for c in by)}, i, a, b, sum({p} - y) AS gb, sum(({p} - y) * x) AS ga, sum({p} * (1 - {p})) AS hbb,
+   sum({p} * (1 - {p}) * x) AS hab, sum({p} * (1 - {p}) * x * x) AS haa
+  FROM newton n JOIN pc r ON {same} WHERE i < {steps} GROUP BY {", ".join(f"n.{c}" for c in by)}, i, a, b)),
+platt AS (SELECT {keys}, a, b FROM newton WHERE i = {steps})"""
+
+
 def _hazard(z: str = "z") -> str:
     survival = " * ".join(f"(1.0 - {_sig(f'{z} - 0.5::DOUBLE * {k}')})" for k in (1, 2, 3, 4))
     return f"(1.0 - {survival})"
@@ -273,8 +291,9 @@ def _index(keep_unseen: bool) -> str:
 
 _FEATURES = ("impression_id, n_previous_conversions, time_since_last_impression, impression_number, "
              "time_since_last_click")
+_FOLD_CAL = "SELECT fp.* FROM fp JOIN folds USING (fold_id) WHERE start_s < train_end_s + 86400"
 _FOLD_PRED = _FOLDS + f""",
-fp AS (SELECT f.fold_id, c.impression_id, c.conversion AS y, {_FORMULA} AS z, {_sig(_FORMULA)} AS p
+fp AS (SELECT f.fold_id, c.impression_id, c.start_s, c.b1, c.b2, c.b3, c.b4, c.conversion AS y, {_FORMULA} AS z, {_sig(_FORMULA)} AS p
  FROM conf c JOIN folds f ON c.start_s >= f.train_end_s AND c.start_s < f.test_end_s)"""
 _DATE = "strftime(to_timestamp({}) AT TIME ZONE 'UTC', '%Y-%m-%d')"
 _OBS = f"""obs AS (SELECT *, (conversion = 1 AND event_s IS NOT NULL AND event_s <= {_TRAIN_END})::INTEGER AS y_obs,
@@ -392,6 +411,18 @@ bce AS (SELECT head, label, mature * at_risk AS weight, z - 0.5::DOUBLE * head A
         "fsiw_weights": _q(_OBS, f"SELECT impression_id, y_obs, {_r6(w_obs)} AS weight FROM obs"),
         "platt_intercept": _q(_platt("z", "y", False), f"SELECT {_r6('a')} AS slope, {_r6('b')} AS intercept FROM platt"),
         "platt_slope": _q(_platt("z", "y", True), f"SELECT {_r6('a')} AS slope, {_r6('b')} AS intercept FROM platt"),
+        **{f"platt_{kind}_folds": _q(
+            _FOLD_PRED + ",\n" + _platt_groups(f"SELECT fold_id, z AS x, y::DOUBLE AS y FROM ({_FOLD_CAL})", ("fold_id",), kind == "slope"),
+            f"SELECT fold_id, {_r6('a')} AS slope, {_r6('b')} AS intercept FROM platt") for kind in ("intercept", "slope")},
+        "calibrate_folds": _q(
+            _FOLD_PRED + ",\n" + _platt_groups(f"SELECT fold_id, z AS x, y::DOUBLE AS y FROM ({_FOLD_CAL})", ("fold_id",), False),
+            f"SELECT fold_id, impression_id, {_r6(_sig('a * z + b'))} AS p FROM fp JOIN folds USING (fold_id) JOIN platt USING (fold_id) "
+            "WHERE start_s >= train_end_s + 86400"),
+        "platt_heads_folds": _q(
+            _FOLD_PRED + ",\n" + _platt_groups(
+                f"SELECT fold_id, unnest([1, 2, 3, 4])::INTEGER AS head, z - 0.5::DOUBLE * unnest([1, 2, 3, 4]) AS x, "
+                f"unnest([b1, b2, b3, b4])::DOUBLE AS y FROM ({_FOLD_CAL})", ("fold_id", "head"), True),
+            f"SELECT fold_id, head, {_r6('a')} AS slope, {_r6('b')} AS intercept FROM platt"),
         "platt_apply": _q(_platt("z", "y", False),
                           f"SELECT impression_id, {_r6(_sig('a * z + b'))} AS p FROM tst JOIN platt ON true"),
         "calibrate_multi": _q(_platt(_logit(_hazard()), "b1 + b2 + b3 + b4 > 0", True),

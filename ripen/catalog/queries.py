@@ -599,9 +599,52 @@ def _fold_predictions(spark, sf_dir):
     """Formula scores of the test window of every outer fold, in one job."""
     rows = t.conformed(spark, sf_dir).rows
     folds = _outer(rows)
-    exploded = fold_plans.explode_folds(rows, folds)
-    train_end = fold_plans.by_fold(folds, lambda f: F.lit(f.train_end).cast("timestamp"))
-    return t.scored(exploded.filter(F.col("timestamp_dt") >= train_end))
+    return t.scored(fold_plans.explode_folds(rows, folds, part="test"))
+
+
+def _folds_cal_and_test(spark, sf_dir):
+    """The first test day and the rest of the test window of every outer fold."""
+    rows = t.conformed(spark, sf_dir).rows
+    folds = _outer(rows)
+    late = t.scored(fold_plans.explode_folds(rows, folds, part="test"))
+    cal_end = fold_plans.by_fold(folds, lambda f: F.lit(splits.calibration_bounds_after(f.train_end)[1]).cast("timestamp"))
+    return late.filter(F.col("timestamp_dt") < cal_end), late.filter(F.col("timestamp_dt") >= cal_end)
+
+
+def _platt_by_fold(spark, sf_dir, slope):
+    cal, _ = _folds_cal_and_test(spark, sf_dir)
+    cal = cal.select("fold_id", "z", "y")
+    return rounded(calibration.platt_frame(cal, calibration.fit_platt_groups(cal, "z", "y", ["fold_id"], slope=slope), ["fold_id"]))
+
+
+@query
+def platt_intercept_folds(spark, sf_dir):
+    """Calibration of every outer fold, all folds side by side."""
+    return _platt_by_fold(spark, sf_dir, False)
+
+
+@query
+def platt_slope_folds(spark, sf_dir):
+    return _platt_by_fold(spark, sf_dir, True)
+
+
+@query
+def calibrate_folds(spark, sf_dir):
+    cal, test = _folds_cal_and_test(spark, sf_dir)
+    found = calibration.calibrate_groups(cal, test.drop("p"), "z", "y", ["fold_id"])
+    return rounded(found.select("fold_id", "impression_id", "p"))
+
+
+@query
+def platt_heads_folds(spark, sf_dir):
+    """Calibration of every head of every outer fold: one aggregate per step for all of them."""
+    cal, _ = _folds_cal_and_test(spark, sf_dir)
+    heads_of = F.explode(F.array(*[
+        F.struct(F.lit(k).alias("head"), (F.col("z") - F.lit(0.5) * k).alias("x"), F.element_at("bucket_vec", k).alias("label"))
+        for k in range(1, t.N_HEADS + 1)]))
+    rows = cal.select("fold_id", heads_of.alias("h")).select("fold_id", "h.*")
+    by = ["fold_id", "head"]
+    return rounded(calibration.platt_frame(rows, calibration.fit_platt_groups(rows, "x", "label", by, slope=True), by))
 
 
 @query

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import any_one, hash_keep, logit, sigmoid
 from ..operators import heads, numerics, shift, splits
-from ..operators.calibration import hazard_logit
+from ..operators.calibration import calibrate_groups, hazard_logit
 from ..operators.conform import HEADS, TARGET
 from ..operators.maturity import MASK_TRAIN
 from ..plans.folds import Fold
@@ -108,7 +108,12 @@ def fit_candidates(plan: Plan, specs: Sequence[ModelSpec]) -> DataFrame:
     if plan.cal is None:
         return stacked([
             f.logits(plan.test).select("impression_id", plan.label.cast("int").alias("y"), plan.raw.alias("p")) for f in fitted])
-    return stacked([plan.outcome(f, s).predictions.select("impression_id", "y", "p") for f, s in zip(fitted, specs)])
+    # Calibrated side by side.
+    def scored(df):
+        return stacked([f.logits(df).select("impression_id", plan.label.cast("int").alias("y"), plan.z.alias("z")) for f in fitted])
+
+    slope = bool(specs[0].platt_slope)
+    return calibrate_groups(scored(plan.cal), scored(plan.test), "z", "y", ["candidate"], slope=slope).drop("z")
 
 
 def _encoded(rows: DataFrame, train: DataFrame, spec: ModelSpec, unseen: str) -> tuple[DataFrame, DenseEncoder]:

@@ -59,15 +59,15 @@ def folds_frame(spark: SparkSession, folds: Sequence[Fold]) -> DataFrame:
         rows, "fold_id int, train_start date, train_end date, test_start date, test_end date")
 
 
-def explode_folds(df: DataFrame, folds: Sequence[Fold], column: str = START) -> DataFrame:
-    """Each row once per fold whose window holds it, with ``fold_id``.
+def explode_folds(df: DataFrame, folds: Sequence[Fold], column: str = START, *, part: str = "all") -> DataFrame:
+    """Each row once per fold whose window holds it, with ``fold_id``; ``part`` is "all" or "test".
 
     A row is compared with the (few) folds in a projection, so several folds are
     processed in one job without a range join.
     """
     def inside(f: Fold) -> Column:
         ts = F.col(column)
-        return (ts >= as_timestamp(f.train_start)) & (ts < as_timestamp(f.test_end))
+        return (ts >= as_timestamp(f.test_start if part == "test" else f.train_start)) & (ts < as_timestamp(f.test_end))
 
     members = F.array_compact(F.array(*[F.when(inside(f), F.lit(f.fold_id)) for f in folds]))
     return df.withColumn("fold_id", F.explode(members))

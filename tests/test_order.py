@@ -227,3 +227,40 @@ def test_a_large_piece_is_cut_again(spark):
     same = spark.range(500).select(F.lit(1).alias("x"), F.lit(1).alias("n"))
     with pytest.raises(ValueError, match="equal"):
         ranking.range_pieces(same, [], [F.col("x").asc()], ["n"], 40, 100)
+
+
+def test_groups_are_calibrated_as_alone(spark):
+    """Folds side by side, one of them with a single class, one with a null name."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):
+        g = (None, "a", "b")[i % 3]
+        x = rng.gauss(0, 2)
+        chance = 1 / (1 + math.exp(-(0.5 * x + (1 if g == "a" else -1))))
+        rows.append((g, x, 0 if g == "b" else int(rng.random() < chance)))
+    df = spark.createDataFrame(rows, "g string, x double, y int")
+    for slope in (False, True):
+        found = calibration.fit_platt_groups(df, "x", "y", ["g"], slope=slope)
+        assert found["b",] == calibration.Platt() and len(found) == 3
+        for g in (None, "a"):
+            alone = calibration.fit_platt(df.filter(F.col("g").eqNullSafe(F.lit(g))), "x", "y", slope=slope)
+            assert (found[g,].slope, found[g,].intercept) == pytest.approx((alone.slope, alone.intercept), abs=1e-9)
+    test = df.withColumn("id", F.monotonically_increasing_id())
+    out = calibration.calibrate_groups(df.filter("g <> 'a' OR g IS NULL"), test, "x", "y", ["g"], slope=True)
+    assert out.count() == 900
+    far = out.filter("g = 'a' OR g = 'b'").agg(F.max(F.abs(F.col("p") - 1 / (1 + F.exp(-F.col("x")))))).first()[0]
+    assert far < 1e-12
+
+
+def test_a_newton_step_of_all_groups_is_one_aggregate(spark):
+    from ripen.session import cut
+
+    def jobs_of(n):
+        df = cut(spark.range(400).select((F.col("id") % n).alias("g"), (F.col("id") / 100 - 2).alias("x"), (F.hash("id") % 2 == 0).cast("int").alias("y")))
+        spark.sparkContext.setJobGroup(f"newton-{n}", "")
+        calibration.fit_platt_groups(df, "x", "y", ["g"], max_steps=3)
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"newton-{n}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found
+
+    assert jobs_of(7) <= jobs_of(1) + 2
