@@ -8,10 +8,14 @@ from functools import lru_cache
 
 import numpy as np
 
-PIECES_KEPT = 400_000
+PIECES_KEPT = 150_000
 MISSES_AT_ONCE = 20_000
 TEXTS_AT_ONCE = 1_000
-_TWO_SPACES = re.compile(r"\s\s|[\x1c-\x1f]")
+#: Where none of these occurs, white space is blanks and line feeds, none beside another but line feeds.
+_BESIDE_BLANKS = ("  ", " \n", "\n ")
+_RARE_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_WIDE_SPACE = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200b)))
+_SIGNS = ".,;:!?"
 
 #: Latin letters, digits, signs but the apostrophe, and single line feeds within: here the byte-level
 #: pattern cuts at changes of class only, so that the tokenizer's model can be asked directly.
@@ -52,6 +56,7 @@ class Encoder:
         shown = _byte_characters()
         self.blank = shown[32]
         self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0x250)}
+        self.signs = {c: b"".join(self.packed[t.id] for t in self.model.tokenize(c)) for c in _SIGNS}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -59,7 +64,10 @@ class Encoder:
     def pieces(text: str) -> list[str]:
         """The text, cut before safe blanks; pieces but the first stand without their blank."""
         parts = text.split(" ")
-        if len(parts) == 1 or not _TWO_SPACES.search(text) and not parts[0][:1].isspace() and parts[0] and parts[-1]:
+        if len(parts) == 1:
+            return parts
+        rare = _RARE_SPACE if text.isascii() else _RARE_SPACE + _WIDE_SPACE
+        if parts[0] and parts[-1] and not parts[0][0].isspace() and not any(x in text for x in (*_BESIDE_BLANKS, *rare)):
             return parts
         out = [parts[0]]
         for part in parts[1:]:
@@ -81,9 +89,18 @@ class Encoder:
                 new.append(piece)
             else:
                 self.known[piece] = found
-        other, ids, tokenize = [], self.packed, self.model.tokenize
+        other, ids, tokenize, known = [], self.packed, self.model.tokenize, self.known
         for piece in new:
-            if _PLAIN.fullmatch(piece):
+            # A word, or a word and a sign: letters are one class, whatever their script.
+            word = piece[:-1] if piece[-1:] in _SIGNS else piece
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                found = known.get(word)
+                if found is None:
+                    shown = word if word.isascii() else word.translate(self.shown)
+                    found = known[word] = b"".join([ids[t.id] for t in tokenize(self.blank + shown)])
+                if word is not piece:
+                    known[piece] = found + self.signs[piece[-1]]
+            elif _PLAIN.fullmatch(piece):
                 parts = _CLASSES.findall(piece)
                 if not piece.isascii() or "\n" in piece:
                     parts = [p.translate(self.shown) for p in parts]

@@ -104,3 +104,65 @@ def nearest(ids, vectors, query, k=10):
     distances = np.sqrt(((vectors - vectors[ids == query][0]) ** 2).sum(1))
     rows = [i for i in np.lexsort((ids, distances)) if ids[i] != query][:k]
     return [(int(ids[i]), float(distances[i])) for i in rows]
+
+
+def drawn(docs, target, buckets=10_000, percent=25, least=20):
+    """[(id, text)] -> [(id, n_features, weight, score, rank)] of a draw towards the target's texts."""
+    import math
+
+    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def parts(text):
+        w = word.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+        return w, [zlib.crc32(x) % buckets for x in [*w, *(a + b" " + b for a, b in zip(w, w[1:]))]]
+
+    told = [(i, *parts(t)) for i, t in docs]
+    s = Counter(b for _, _, f in told for b in f)
+    t = Counter(b for text in target for b in parts(text)[1])
+    n_s, n_t = sum(s.values()), sum(t.values())
+
+    def gain(b):
+        return math.floor(1000 * math.log(((t[b] + 1) * (n_s + buckets)) / ((s[b] + 1) * (n_t + buckets))))
+
+    rows = []
+    for i, w, f in told:
+        weight = sum(map(gain, f)) // len(f) if f else 0
+        h = int(hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append([i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(w)])
+    able = sorted((r for r in rows if r[5] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for rank, r in enumerate(able[:percent * len(able) // 100], 1):
+        r[4] = rank
+    return [tuple(r[:5]) for r in rows]
+
+
+def spelling(docs, slip=97, least=3, ratio=2):
+    """[(id, text)] -> {word: (n, n_near, form, form_n, root)}"""
+    counts = Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if slip and h % slip == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            counts[run] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= 5 and c >= least}
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        return len(b) == len(a) + 1 and any(b[:j] + b[j + 1:] == a for j in range(len(b)))
+
+    out = {}
+    for w in n:
+        around = [v for v in n if v != w and abs(len(v) - len(w)) < 2 and near(v, w)]
+        best = min(around, key=lambda v: (-n[v], v), default=None)
+        form = best if best is not None and n[best] >= ratio * n[w] else None
+        out[w] = [n[w], len(around), form, n[form] if form else None]
+    for w in n:
+        at = w
+        while out[at][2] is not None:
+            at = out[at][2]
+        out[w] = (*out[w][:4], at)
+    return out

@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from ripen.llm import jaccard, lengths, masked_lm, mixing, neighbours, packing, phrases, quality, suffixes, token_files
+from ripen.llm import (
+    importance, jaccard, lengths, masked_lm, mixing, neighbours, packing, phrases, quality, spelling, suffixes, token_files, toxicity,
+)
 from ripen.llm.tokens import encoder, tokenizer_path
 
 from . import brute
@@ -265,3 +267,150 @@ def test_scores_learn_from_both_sides(spark):
     shape = masked_lm.Shape(n_top=12, n_tail=4, group=4, width=8, reach=1)
     found = masked_lm.score(docs, shape, masked_lm.Training(rounds=6, masked=0.5, batch=128, rate=0.02)).toPandas()
     assert found.log_prob.sum() / found.n_words.sum() > 0.5 * np.log(1 / 12)
+
+
+def test_importance_draw(spark, odd, empty):
+    target = spark.createDataFrame([(SHARED,), (None,), ("",)], "text string")
+    settings = importance.Settings(least_words=1, percent=60)
+    want = brute.drawn([(r[0], r[1]) for r in ROWS], [SHARED], percent=60, least=1)
+    found = sorted((tuple(r) for r in importance.resample(odd, target, settings).select("id", "n_features", "weight", "score", "rank").collect()), key=str)
+    # Rows equal in score and id may change places.
+    assert [r[:4] for r in found] == [r[:4] for r in sorted(want, key=str)]
+    assert sorted(r[4] for r in found if r[4]) == list(range(1, 1 + sum(r[4] is not None for r in want)))
+    assert {r[:4] for r in found if r[4]} == {r[:4] for r in want if r[4]}
+    kept = importance.drawn_documents(odd, target, settings)
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in want if r[4] and r[0] is not None}
+    assert importance.resample(empty, target).count() == 0
+    assert importance.resample(odd, target.limit(0), settings).count() == len(ROWS)
+    assert importance.resample(odd, target, importance.Settings(percent=0)).where("rank IS NOT NULL").isEmpty()
+
+
+@pytest.mark.parametrize("n,k", [(1, 1), (997, 1), (997, 500), (997, 997), (40, 17)])
+def test_the_cutoff_is_exact_with_ties(spark, monkeypatch, n, k):
+    """Few distinct scores, repeated keys and null ids, in many small blocks."""
+    r = random.Random(n + k)
+    keys = [(r.randrange(-3, 4), r.choice([None, *range(n // 3 + 1)])) for _ in range(n)]
+    df = spark.createDataFrame(keys, "score long, id long").repartition(7)
+    want = sorted((-s, importance.NO_ID if i is None else i) for s, i in keys)[k - 1]
+    assert importance.cutoff(df, k) == (-want[0], want[1])
+    assert importance.cutoff(df, n + 1) is None and importance.cutoff(df, 0) is None
+
+
+def test_spelling(spark, odd, empty):
+    found = {r["word"]: (r["n"], r["n_near"], r["form"], r["form_n"], r["root"]) for r in spelling.spelling_variants(odd).collect()}
+    assert found == brute.spelling([(r[0], r[1]) for r in ROWS])
+    assert spelling.spelling_variants(empty).count() == 0
+
+
+def test_spelling_of_near_words_in_crowded_chunks(spark):
+    """Every kind of edit at every place, two-byte letters, equal counts, chains, and chunks shared by many words."""
+    r = random.Random(4)
+    words = {"".join(r.choices("abé", k=r.randint(5, 9))): r.choice([3, 3, 4, 6, 12, 24, 50]) for _ in range(900)}
+    counts = spark.createDataFrame(list(words.items()), "word string, n long")
+    want = brute.spelling([(i, " ".join([w] * n)) for i, (w, n) in enumerate(words.items())], slip=0)
+    for block in (3, 500):
+        pairs = {frozenset((p["word"], p["other"])) for p in spelling.near_pairs(counts, block_words=block).collect()}
+        assert 2 * len(pairs) == sum(x[1] for x in want.values())
+    found = {x["word"]: (x["n"], x["n_near"], x["form"], x["form_n"], x["root"]) for x in spelling.group_variants(counts).collect()}
+    assert found == want
+    short = spark.createDataFrame([("ab", 1), ("ac", 1), ("a", 1), ("b", 1), ("abc", 1)], "word string, n long")
+    assert {(p["word"], p["other"]) for p in spelling.near_pairs(short).collect()} == {
+        ("ab", "ac"), ("a", "ab"), ("a", "ac"), ("b", "ab"), ("a", "b"), ("ab", "abc"), ("ac", "abc")}
+
+
+def chains(lengths, seed):
+    rng = np.random.default_rng(seed)
+    n = int(np.sum(lengths))
+    return rng.normal(size=n) * 3, toxicity._firsts(np.array(lengths), n), rng.normal(size=5)
+
+
+def test_marginals_equal_enumeration():
+    from itertools import product
+
+    lengths = [3, 0, 1, 4, 2]
+    e, first, rest = chains(lengths, 0)
+    p, log_z, pairs = toxicity.forward_backward(e, first, rest)
+    want, total, both, at = [], 0.0, np.zeros((2, 2)), 0
+    for n in filter(None, lengths):
+        weights, hits, own = 0.0, np.zeros(n), np.zeros((2, 2))
+        for tags in product((0, 1), repeat=n):
+            steps = list(zip(tags, tags[1:]))
+            w = np.exp(e[at:at + n] @ tags + rest[4] * tags[0] + sum({(0, 1): rest[1], (1, 0): rest[2], (1, 1): rest[3]}.get(x, 0) for x in steps))
+            weights += w
+            hits += w * np.array(tags)
+            for x in steps:
+                own[x] += w
+        want += list(hits / weights)
+        total += np.log(weights)
+        both += own / weights
+        at += n
+    assert np.allclose(p, want) and log_z == pytest.approx(total) and np.allclose(pairs, both)
+
+
+def test_marginals_do_not_depend_on_blocks(monkeypatch):
+    e, first, rest = chains([700, 1, 40, 3000, 5], 1)
+    whole = toxicity.forward_backward(e, first, rest)
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    other = toxicity.forward_backward(e, first, rest)
+    assert np.allclose(whole[0], other[0]) and whole[1] == pytest.approx(other[1]) and np.allclose(whole[2], other[2])
+    far = toxicity.forward_backward(np.array([900.0, -900.0, 900.0]), np.array([True, False, False]), np.zeros(5))
+    assert np.allclose(far[0], [1, 0, 1]) and np.isfinite(far[1])
+
+
+def test_gradient_of_the_field():
+    rng = np.random.default_rng(2)
+    lengths = np.array([3, 0, 4, 1])
+    index, place = rng.integers(0, 8, (5, toxicity.KINDS)).astype(np.int32), rng.integers(0, 5, 8).astype(np.int32)
+    tags, w = rng.integers(0, 2, 8).astype(bool), rng.normal(size=3 * 7 + toxicity.REST) * 0.3
+    grad = toxicity.loss_and_gradient(w, index, place, lengths, tags)[1]
+    for i, bump in enumerate(np.eye(len(w)) * 1e-5):
+        up, down = (toxicity.loss_and_gradient(w + s * bump, index, place, lengths, tags)[0] for s in (1, -1))
+        assert grad[i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def _toxic_docs(n=400):
+    """Every eighth document has a planted word or a word with a planted beginning; copies, and a long text."""
+    rows, marks = [], []
+    for i in range(n):
+        words = prose(60, i).split()
+        if i % 8 == 0:
+            for at in (5, 20, 41):
+                words[at] = ["Nasty", "vilex" + words[at]][(i // 8) % 2]
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(i % 8 == 0)))
+    return rows, marks
+
+
+def test_toxic_spans(spark, odd, empty):
+    from pyspark.sql import functions as F
+
+    rows, marks = _toxic_docs()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([*marks, (None, 1), (3, None), (0, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.col("id") % 5 != 0)
+    asked = docs.union(spark.createDataFrame(
+        [(None, "a nasty day"), (900, None), (901, " .. 12"), (902, prose(30_000, 5) + " NASTY nasty"), (0, rows[0][1])], docs.schema))
+    found = toxicity.score(asked, model).collect()
+    assert len(found) == len(rows) + 5
+    held = [r for r in found if r["id"] is not None and r["id"] < 400 and r["id"] % 5 == 0]
+    assert all((r["score"] >= 0.5) == (r["id"] % 8 == 0) for r in held)
+    texts = dict(rows)
+    for r in held:
+        spans = [texts[r["id"]][s["start"]:s["end"]].lower() for s in r["spans"]]
+        assert all(s.startswith(("nasty", "vilex")) for s in spans) and len(spans) == (3 if r["id"] % 8 == 0 else 0)
+    other = {r["id"]: r for r in found}
+    assert [(s["end"] - s["start"]) for s in other[902]["spans"]] == [11] and other[902]["n_words"] == 30_002
+    assert other[900]["n_words"] == other[901]["n_words"] == 0 and other[900]["score"] == other[901]["score"] < 0.5
+    again = toxicity.fit(docs.repartition(1), labels, F.col("id") % 5 != 0)
+    assert np.array_equal(again.field.codes, model.field.codes) and np.allclose(again.field.weights, model.field.weights, atol=1e-3)
+    assert toxicity.score(odd, model).count() == len(ROWS) and toxicity.score(empty, model).count() == 0
+
+
+def test_toxicity_without_labels_of_both_kinds(spark, odd, empty):
+    from pyspark.sql import functions as F
+
+    for marks, share in (([], 0.25), ([(1, 1), (6, 1)], 3 / 6), ([(1, 0)], 1 / 5)):
+        labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+        model = toxicity.fit(odd, labels, F.lit(True))
+        assert {round(r["score"], 9) for r in toxicity.score(odd, model).collect()} == {round(share, 9)}
+    assert toxicity.score(empty, toxicity.fit(empty, labels, F.lit(True))).count() == 0

@@ -1,4 +1,4 @@
-"""The ten queries and the pipeline on the smallest tables, against brute force."""
+"""The queries and the pipeline on the smallest tables, against brute force."""
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -111,6 +111,36 @@ def test_scores_cover_every_word(spark, docs):
     assert all(r["log_prob"] < 0 or not r["n_words"] for r in found)
 
 
+def test_draw_towards_the_benchmark(spark):
+    docs = pq.read_table(f"{SF}/documents.parquet").to_pandas()
+    target = pq.read_table(f"{SF}/benchmark.parquet").column("text").to_pylist()
+    want = brute.drawn(list(zip(docs.doc_id, docs.text)), target)
+    found = {r["doc_id"]: tuple(r) for r in catalog.op12_importance_resampling(spark, SF).collect()}
+    assert found == {r[0]: r for r in want} and sum(r[4] is not None for r in want) > 20
+
+
+def test_spelling_variants(spark, docs):
+    found = {r["word"]: (r["n"], r["n_near"], r["form"], r["form_n"], r["root"]) for r in catalog.op13_spelling_variants(spark, SF).collect()}
+    want = brute.spelling(docs.items())
+    assert found == want and any(r[4] not in (w, r[2]) for w, r in want.items())
+
+
+def test_toxic_documents_are_told_apart(spark):
+    """Held-out accuracy at sf0.01; the labels have noise of their own."""
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    found = catalog.op11_toxic_spans(spark, sf).toPandas().set_index("doc_id")
+    assert len(found) == pq.read_table(f"{sf}/documents.parquet").num_rows and found.score.between(0, 1).all()
+    assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in found.held_out.items())
+    assert ((found.score >= 0.5).astype(int) == found.predicted).all()
+    labels = pq.read_table(f"{sf}/labels.parquet").to_pandas().set_index("doc_id").toxic
+    known = found.join(labels, how="inner")
+    held = known[known.held_out]
+    assert held[held.toxic == 1].predicted.mean() > 0.5 and held[held.toxic == 0].predicted.mean() < 0.02
+    assert (held[held.toxic == 1].score.mean() - held[held.toxic == 0].score.mean()) > 0.4
+
+
 def test_pipeline_stages(spark):
     """Each stage against brute force on what the one before it kept."""
     import corpus_pipeline as pipeline
