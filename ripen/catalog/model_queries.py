@@ -7,6 +7,8 @@ no SQL twin; tests check them against brute force and planted truth.  Sizes that
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions import epoch_seconds, exploded_positions
@@ -18,7 +20,8 @@ from ..operators.delays import bucket_edges, horizon
 from ..plans.experiment import ExperimentConfig, run_experiment, spec_for
 from ..plans.tuning import Scorer, draw_network, tune_forest, tune_network
 from ..session import shared_folder
-from ..streaming import bucket_counts_stream, label_stream, run_available
+from ..sources import read_table, write_days, write_table
+from ..streaming import bucket_counts_stream, label_stream, run_available, write_in_turn
 from . import tables as t
 from .queries import query, rounded
 
@@ -176,6 +179,42 @@ def stream_labels(spark, sf_dir):
     return spark.read.parquet(target).select("impression_id", "conversion", "conversion_delay", "bucket.bucket_id")
 
 
+@query
+def stream_labels_restarted(spark, sf_dir):
+    """The same labels from micro-batches of a few days each; the stream ends half-way and goes on from its
+    checkpoint."""
+    rows = t.bucketed(spark, sf_dir)
+    edges = bucket_edges(horizon(rows))
+    sides = ((rows.select("impression_id", "uid", "timestamp_dt"), "timestamp_dt", shared_folder(spark, "impressions")),
+             (rows.filter("conversion = 1").select("impression_id", "conversion_timestamp_dt"), "conversion_timestamp_dt",
+              shared_folder(spark, "conversions")))
+    target, state = shared_folder(spark, "labels"), shared_folder(spark, "state")
+    days = [t.FIRST_DAY + dt.timedelta(days=d) for d in (6, 12, 18, 24)]
+    first = F.lit(str(days[1])).cast("timestamp")
+    for early in (True, False):
+        for side, moment, folder in sides:
+            some = side.filter(F.col(moment) < first if early else F.col(moment) >= first)
+            write_in_turn(some, folder, moment, days[:1] if early else days[2:])
+        impressions, conversions = (
+            spark.readStream.schema(side.schema).option("maxFilesPerTrigger", 1).parquet(folder) for side, _, folder in sides)
+        run_available(label_stream(impressions, conversions, edges), target, state)
+    return spark.read.parquet(target).select("impression_id", "conversion", "conversion_delay", "bucket.bucket_id")
+
+
+@query
+def sink_days(spark, sf_dir):
+    """The preprocessed table laid out by day; then three days of it are replaced by their conversions alone."""
+    rows = t.bucketed(spark, sf_dir).select("impression_id", "timestamp_dt", "conversion")
+    folder = shared_folder(spark, "days")
+    write_table(rows, folder, time_column="timestamp_dt")
+    days = [t.FIRST_DAY + dt.timedelta(days=d) for d in (4, 5, 11)]
+    some = rows.filter(F.to_date("timestamp_dt").isin(days) & (F.col("conversion") == 1))
+    write_days(some, folder, time_column="timestamp_dt", days=days)
+    back = read_table(spark, folder, fmt="parquet")
+    return back.groupBy(epoch_seconds(F.col("event_date").cast("timestamp")).alias("day_s")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("conversion").cast("long").alias("conversions"))
+
+
 @query
 def stream_buckets(spark, sf_dir):
     rows = t.bucketed(spark, sf_dir).select("timestamp_dt", "bucket")

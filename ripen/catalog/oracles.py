@@ -457,9 +457,11 @@ ev AS (SELECT * FROM loss2 JOIN curve USING (fold_id) JOIN tops USING (fold_id))
  FROM obs WHERE start_s < {_TRAIN_END - 172800} AND (y_obs = 0 OR coalesce(event_s >= {_TRAIN_END - 172800}, false))"""),
         "one_hot": _q("", f"SELECT impression_id, {_r6(' + '.join(_hot))} AS total FROM prep"),
         "head_labels": _q("", "SELECT impression_id, b1, b2, b3, b4, m1, m2, m3, m4 FROM trm"),
-        "stream_labels": _q(f"""wm AS (SELECT least(max(start_s), max(event_s)) - 3600 AS w FROM buck)""",
+        "sink_days": _q("", """SELECT start_s // 86400 * 86400 AS day_s, count(*) AS n, sum(conversion)::BIGINT AS conversions FROM buck
+ WHERE conversion = 1 OR (start_s - 1704067200) // 86400 NOT IN (4, 5, 11) GROUP BY 1"""),
+        **{name: _q(f"""wm AS (SELECT least(max(start_s), max(event_s)) - 3600 AS w FROM buck)""",
                             """SELECT impression_id, conversion, conversion_delay, bucket_id FROM buck
- WHERE conversion = 1 OR start_s + (SELECT h FROM hz) < (SELECT w FROM wm)"""),
+ WHERE conversion = 1 OR start_s + (SELECT h FROM hz) < (SELECT w FROM wm)""") for name in ("stream_labels", "stream_labels_restarted")},
         "stream_buckets": _q("", """SELECT start_s // 86400 * 86400 AS day_s, bucket_id, count(*) AS n FROM buck
  WHERE (start_s // 86400 + 1) * 86400 <= (SELECT max(start_s) - 3600 FROM buck) GROUP BY 1, 2"""),
         "candidate_scores": _candidates("avg"),

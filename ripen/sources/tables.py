@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,7 +13,7 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Fail on the driver, before any job, when a column is absent."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing columns: {missing}")
+        raise ValueError(f"Missing columns: {missing}; the table has {sorted(df.columns)}")
     return df
 
 
@@ -67,3 +68,33 @@ def write_table(
         writer.saveAsTable(target)
     else:
         writer.save(target)
+
+
+def write_days(
+    df: DataFrame, target: str, *, time_column: str, days: Iterable[dt.date] | None = None, fmt: str = "parquet",
+) -> None:
+    """Replace the days that ``df`` has rows of, in a folder laid out by day as ``write_table`` does.
+
+    Other days keep their files, so readers of those are not disturbed, and a run that touches a few days
+    of a large table writes those alone.  With ``days`` the rows must lie within them, and a day among
+    them without rows becomes empty.
+    """
+    spark = df.sparkSession
+    df = df.withColumn("event_date", F.to_date(time_column))
+    if days is not None:
+        days = sorted(set(days))
+        outside = F.col("event_date").isNull() | ~F.col("event_date").isin(days)
+        # Checked by the writing job itself, before anything is replaced.
+        df = df.withColumn("event_date", F.when(
+            outside, F.raise_error(F.concat(F.lit("A row lies outside the days: "), F.coalesce(F.col("event_date").cast("string"), F.lit("null")))).cast("date")
+        ).otherwise(F.col("event_date")))
+    held = Observation()
+    watched = df if not days else df.observe(held, *[F.max(F.col("event_date") == F.lit(d)).alias(str(d)) for d in days])
+    watched.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").save(target)
+    if not days:
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for day in days:
+        if not held.get[str(day)]:
+            files.delete(path(f"{target}/event_date={day}"), True)

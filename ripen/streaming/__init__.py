@@ -1,3 +1,3 @@
-from .labels import bucket_counts_stream, label_stream, run_available
+from .labels import StreamRun, bucket_counts_stream, label_stream, run_available, write_in_turn
 
-__all__ = ["bucket_counts_stream", "label_stream", "run_available"]
+__all__ = ["StreamRun", "bucket_counts_stream", "label_stream", "run_available", "write_in_turn"]

@@ -8,7 +8,7 @@ import pytest
 from ripen.models import ModelSpec, fit_predict
 from ripen.models.common import late_splits
 from ripen.plans import folds, tuning
-from ripen.sources import read_table, rename_columns, write_table
+from ripen.sources import read_table, rename_columns, write_days, write_table
 from ripen.operators.splits import require_rows, window_slice
 
 D = dt.date
@@ -90,6 +90,30 @@ def test_written_tables_prune_by_day(spark, tmp_path):
     assert read_table(spark, str(tmp_path / "t"), fmt="parquet").count() == 1
 
 
+def test_one_of_three_days_is_rewritten(spark, tmp_path):
+    """The other days keep their very files; a named day without rows becomes empty; rows elsewhere are refused."""
+    folder = tmp_path / "t"
+    df = spark.createDataFrame(
+        [(i, dt.datetime(2024, 1, 1 + i % 3, 5)) for i in range(9)], "impression_id int, timestamp_dt timestamp")
+    write_table(df, str(folder), time_column="timestamp_dt")
+
+    def files(day):
+        return sorted(p.name for p in (folder / f"event_date=2024-01-0{day}").glob("*.parquet"))
+
+    before = files(1), files(3)
+    reader = read_table(spark, str(folder), fmt="parquet").filter("event_date <> date'2024-01-02'")
+    write_days(df.filter("impression_id = 4"), str(folder), time_column="timestamp_dt")
+    assert (files(1), files(3)) == before and reader.count() == 6
+    assert sorted(r.impression_id for r in read_table(spark, str(folder), fmt="parquet").collect()) == [0, 2, 3, 4, 5, 6, 8]
+    days = [D(2024, 1, 2), D(2024, 1, 3)]
+    with pytest.raises(Exception, match="outside the days"):
+        write_days(df, str(folder), time_column="timestamp_dt", days=days)
+    assert (files(1), files(3)) == before
+    write_days(df.filter("impression_id = 5"), str(folder), time_column="timestamp_dt", days=days)
+    assert sorted(r.impression_id for r in read_table(spark, str(folder), fmt="parquet").collect()) == [0, 3, 5, 6]
+    assert files(1) == before[0]
+
+
 def test_renames_and_missing_columns(spark):
     df = spark.createDataFrame([(1,)], "seen_at int")
     assert rename_columns(df, {"seen_at": "timestamp_dt"}).columns == ["timestamp_dt"]
