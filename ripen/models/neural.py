@@ -19,7 +19,7 @@ from ..plans.folds import Fold
 from ..session import cut, store
 from ..sources.tables import present
 from .common import ModelSpec, Outcome, finish, late_splits, probability_of_one, stacked
-from .features import DenseEncoder, dense_vector, fit_dense
+from .features import MOST_CATEGORIES, DenseEncoder, dense_vector, fit_dense
 from .network import Shape
 from .trainer import DEFAULTS, MACHINE_DEFAULTS, Fitted, Job, Layout, train_many
 
@@ -195,17 +195,18 @@ def stratified_holdout(df: DataFrame, label: str, share: float, seed) -> DataFra
     return df.withColumn("is_valid", hash_keep(draw, share, f"{seed}-holdout"))
 
 
-def _selection_model(table: DataFrame, columns: list[str], settings, seed: int):
-    """Boosted trees for the selection label ``s``; stops early on the held-out rows."""
+def selection_model(table: DataFrame, columns: list[str], nominal: Mapping[str, int], settings, seed: int):
+    """Boosted trees for the selection label ``s``; stops early on the held-out rows.  Categories (``nominal``, with
+    their numbers of values) are split as sets: how they are numbered does not matter."""
     rows = stratified_holdout(table, "s", settings["selection_holdout"], seed)
-    encoded = cut(dense_vector(rows, columns).select(
+    encoded = cut(dense_vector(rows, columns, nominal=dict(nominal)).select(
         "features", F.col("s").cast("double").alias("label"), "is_valid"))
     counts = encoded.agg(F.count_if(~F.col("is_valid")), F.count_if(F.col("is_valid"))).first()
     if not counts[0]:
         raise ValueError("No rows for an importance-weight model: tau leaves no usable history.")
     booster = GBTClassifier(
         stepSize=float(settings["selection_rate"]), maxDepth=int(settings["selection_depth"]),
-        maxIter=int(settings["selection_trees"]), seed=int(seed),
+        maxIter=int(settings["selection_trees"]), seed=int(seed), maxBins=MOST_CATEGORIES,
     )
     if counts[1]:
         booster = booster.setValidationIndicatorCol("is_valid")
@@ -231,10 +232,14 @@ def plan_weighted(rows: DataFrame, fold: Fold, spec: ModelSpec) -> Plan:
     deadline = F.col(shift.ELAPSED_DEADLINE)
     positive = shift.positive_table(observed, fold.train_end, tau).withColumn("time", deadline)
     negative = shift.negative_table(observed, fold.train_end, tau).withColumn("time", deadline)
-    selected = _selection_model(positive, fit_columns, settings, spec.seed)
-    stayed = _selection_model(negative, fit_columns, settings, spec.seed)
-
-    scored = dense_vector(observed.withColumn("time", F.col(shift.ELAPSED)), fit_columns)
+    nominal = dict(zip(encoder.index_columns, encoder.sizes))
+    selected = selection_model(positive, fit_columns, nominal, settings, spec.seed)
+    stayed = selection_model(negative, fit_columns, nominal, settings, spec.seed)
+
+    vectors = dense_vector(observed.withColumn("time", F.col(shift.ELAPSED)).select(
+        "impression_id", shift.OBSERVED, *[F.col(c).alias(f"_fit_{c}") for c in encoder.columns], *fit_columns), fit_columns, nominal=nominal)
+    # The networks read the indexes as they were.
+    scored = vectors.drop(*fit_columns).withColumnsRenamed({f"_fit_{c}": c for c in encoder.columns})
     for model, name in ((selected, "p_positive"), (stayed, "p_negative")):
         scored = model.transform(scored).withColumn(name, probability_of_one()).drop(
             "rawPrediction", "probability", "prediction")

@@ -190,6 +190,32 @@ def test_holdout_is_stratified(spark):
     assert all(abs(r.r - 0.1) < 0.02 for r in shares.collect())
 
 
+@pytest.mark.parametrize("n_values", [6, 900])
+def test_renumbering_categories_leaves_the_selection_unchanged(spark, n_values):
+    """Trees split categories as sets, so a category's number says nothing; many values are hashed and still told apart."""
+    from pyspark.ml.functions import vector_to_array
+
+    from ripen.models.features import dense_vector
+    from ripen.models.neural import selection_model
+
+    settings = {"selection_holdout": 0.1, "selection_rate": 0.3, "selection_depth": 3, "selection_trees": 5}
+    rows = spark.range(3000).select(
+        F.col("id").alias("impression_id"), (F.hash("id") % n_values).alias("h"), (F.col("id") % 11 / 11.0).alias("x")
+    ).withColumn("c", F.pmod("h", F.lit(n_values)).cast("int")).withColumn("s", (F.pmod(F.hash("c"), F.lit(3)) == 0).cast("int"))
+
+    def chances(renumbered):
+        own = rows.withColumn("c", renumbered.cast("int"))
+        model = selection_model(own, ["c", "x"], {"c": n_values}, settings, 4)
+        out = model.transform(dense_vector(own.select("impression_id", "s", "c", "x"), ["c", "x"], nominal={"c": n_values}))
+        return {r[0]: (r[1], r[2]) for r in out.select("impression_id", F.element_at(vector_to_array("probability"), 2), "s").collect()}
+
+    plain = chances(F.col("c"))
+    assert np.mean([(p > 0.5) == (s == 1) for p, s in plain.values()]) > (0.99 if n_values == 6 else 0.7)
+    if n_values == 6:
+        other = chances(F.pmod(F.col("c") * 5 + 2, F.lit(6)))
+        assert max(abs(plain[i][0] - other[i][0]) for i in plain) < 1e-9
+
+
 def test_experiment_with_tuning_carries_the_best_forward(clean):
     config = ExperimentConfig(
         model="rf", outer_lengths=(20, 3, 3), inner_lengths=(17, 2, 2), first_day=dt.date(2024, 1, 1),
