@@ -123,7 +123,7 @@ def _grow(plan: OneHotPlan, settings, n_trees: int, seed: int):
     return RandomForestClassifier(
         numTrees=n_trees, maxDepth=_tree_depth(settings), minInstancesPerNode=int(settings["min_samples_leaf"]),
         featureSubsetStrategy=str(settings["max_features"]), subsamplingRate=float(settings["row_share"]), seed=seed,
-    ).fit(plan.encoded)
+    ).fit(plan.encoded).copy()  # without the training summary, which would travel to the tasks
 
 
 def _forest_scores(plan: OneHotPlan, spec: ModelSpec) -> tuple[DataFrame | None, DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bround_share
-from ..session import SMALL_ROWS, small_side, store_measured
+from ..session import SMALL_ROWS, small_side, store
 
 PIECE = "_piece"
 FRAME = (Window.unboundedPreceding, -1)
@@ -23,9 +23,9 @@ def _groups(by: Sequence[str]) -> list:
     return list(by) or [F.lit(1)]
 
 
-def range_pieces(df: DataFrame, by: Sequence[str], order: Sequence[Column], measures: Sequence[str], n_rows: int,
+def range_pieces(df: DataFrame, by: Sequence[str], order: Sequence[Column], aggregates: Sequence[Column], n_rows: int,
                  max_rows: int) -> tuple[DataFrame, DataFrame, int]:
-    """``df`` with its ``_piece``, totals per group and piece, and the number of totals.
+    """``df`` with its ``_piece``, ``aggregates`` per group and piece, and the number of those.
 
     A piece is a path: its place in the first cut, then in a second one where it had more than
     ``max_rows`` rows, and so on; paths compare as their pieces do.  Rows must differ in group or
@@ -39,12 +39,11 @@ def range_pieces(df: DataFrame, by: Sequence[str], order: Sequence[Column], meas
         return ranged.withColumn(PIECE, own if path is None else F.concat(PIECE, own))
 
     def totals_of(ranged):
-        return store_measured(
-            ranged.groupBy(*by, PIECE).agg(*[F.sum(m).alias(m) for m in measures], F.count(F.lit(1)).alias("_rows")),
-            n=F.count(F.lit(1)), largest=F.max("_rows"))
+        totals = store(ranged.groupBy(*by, PIECE).agg(*aggregates, F.count(F.lit(1)).alias("_rows")))
+        return totals, totals.agg(F.count(F.lit(1)).alias("n"), F.max("_rows").alias("largest")).first()
 
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged, _ = store_measured(cut_up(df, max(least, -(-2 * n_rows // max_rows)), None), n=F.count(F.lit(1)))
+    ranged = store(cut_up(df, max(least, -(-2 * n_rows // max_rows)), None))
     totals, told = totals_of(ranged)
     while (told["largest"] or 0) > max_rows:
         large = totals.groupBy(PIECE).agg(F.sum("_rows").alias("_rows")).where(F.col("_rows") > max_rows)
@@ -52,7 +51,7 @@ def range_pieces(df: DataFrame, by: Sequence[str], order: Sequence[Column], meas
         marked = small_side(large.select(PIECE), n_large)
         again = cut_up(ranged.join(marked, PIECE, "left_semi"), 2 * n_large + -(-4 * n_held // max_rows), F.col(PIECE))
         before = told["largest"]
-        ranged, _ = store_measured(ranged.join(marked, PIECE, "left_anti").unionByName(again), n=F.count(F.lit(1)))
+        ranged = store(ranged.join(marked, PIECE, "left_anti").unionByName(again))
         totals, told = totals_of(ranged)
         if told["largest"] >= before:
             raise ValueError("Rows that are equal in group and order cannot be cut into pieces.")
@@ -67,26 +66,28 @@ def prefix_sums(
     by: Sequence[str] = (),
     descending: bool = False,
     max_rows: int = SMALL_ROWS,
-    n_rows: int | None = None,
     totals: bool = False,
+    uncounted: bool = False,
 ) -> DataFrame:
     """Exclusive prefix sums ``{measure}_before`` in the order of ``column`` (or several), and with
     ``totals`` the group's ``{measure}_total``.
 
     Any orderable type will do; values are unique within ``by``: callers aggregate to distinct
     values first, which also folds any heavily repeated value into one row.  Up to ``max_rows``
-    rows (``n_rows``, counted unless it is known) a window per group is enough.
+    rows a window per group is enough; ``uncounted`` goes for pieces at once, which saves rows that
+    are not stored from being computed twice.
     """
     columns = [column] if isinstance(column, str) else list(column)
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in columns]
-    n_rows = df.count() if n_rows is None else n_rows
-    if n_rows <= max_rows:
+    n_rows = 0 if uncounted else df.count()
+    if n_rows <= max_rows and not uncounted:
         whole = Window.partitionBy(*_groups(by))
         window = whole.orderBy(*order).rowsBetween(*FRAME)
         out = df.withColumns({f"{m}_before": F.coalesce(F.sum(m).over(window), F.lit(0)) for m in measures})
         return out.withColumns({f"{m}_total": F.sum(m).over(whole) for m in measures}) if totals else out
 
-    ranged, per_piece, n_totals = range_pieces(df, by, order, measures, n_rows, max_rows)
+    ranged, per_piece, n_totals = range_pieces(
+        df, by, order, [F.sum(m).alias(m) for m in measures], n_rows, max_rows)
     whole = Window.partitionBy(*_groups(by))
     earlier = whole.orderBy(PIECE).rowsBetween(*FRAME)
     carried = per_piece.select(
@@ -112,11 +113,10 @@ def score_table(
     row per task.
     """
     groups = list(by)
-    distinct, told = store_measured(predictions.groupBy(*groups, F.col(score).alias("p")).agg(
+    distinct = store(predictions.groupBy(*groups, F.col(score).alias("p")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")
-    ), n=F.count(F.lit(1)))
-    return prefix_sums(distinct, "p", ["n", "pos"], by=groups, descending=descending, max_rows=max_rows,
-                       n_rows=told["n"], totals=True)
+    ))
+    return prefix_sums(distinct, "p", ["n", "pos"], by=groups, descending=descending, max_rows=max_rows, totals=True)
 
 
 def exact_quantiles(

@@ -1,10 +1,11 @@
 """Running aggregates per key that survive a key holding a third of all rows.
 
 A plain window puts all rows of a key into one task.  Here the rows of keys with more than
-``max_rows`` rows fall into time slices; windows run inside (key, slice), and the slice totals,
-one row per hot key and slice, are accumulated and added back.  Sum, minimum and maximum
-combine exactly, so the result equals the plain window's.  Neither keys nor slices are
-collected, and no number of hot keys is refused.
+``max_rows`` rows are cut into ranges of their order, of at most ``max_rows`` rows each, also
+where they share a moment; windows run inside (key, slice), and the slice totals, one row per
+hot key and slice, are accumulated and added back.  Sum, minimum and maximum combine exactly, so
+the result equals the plain window's.  Neither keys nor slices are collected, and no number of
+hot keys is refused.
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, small_side
-
-SLICE = "_slice"
+from .ranking import PIECE, range_pieces
 
 
 @dataclass(frozen=True)
@@ -35,19 +35,29 @@ class Measure:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """``places``: the hot keys, one column; None if there are none.  ``n``: their number."""
+    """``places``: the hot keys, one column; None if there are none.  ``n``: their number; ``n_rows``: their
+    rows; ``max_rows``: what a slice may hold."""
 
     places: DataFrame | None
     n: int = 0
-    slice_seconds: int = 3600
+    n_rows: int = 0
+    max_rows: int = 0
 
 
-def find_hot_keys(df: DataFrame, key: str, max_rows: int = 5_000_000, *, slice_seconds: int = 3600) -> HotKeys:
+def find_hot_keys(df: DataFrame, key: str, max_rows: int = 5_000_000) -> HotKeys:
     """The keys to slice: one aggregate with a partial count per key and task."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_rows)
-    places = cut(counts.select(key))
-    n = places.count()
-    return HotKeys(places if n else None, n, slice_seconds)
+    counts = cut(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_rows))
+    n, n_rows = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
+    return HotKeys(counts.select(key) if n else None, n, n_rows or 0, max_rows)
+
+
+_AGGREGATE = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def slices(rows: DataFrame, key: str, order: list[str], measures: list[Measure], hot: HotKeys) -> tuple[DataFrame, DataFrame, int]:
+    """The rows of hot keys with their slice, totals of the measures per key and slice, and the number of those."""
+    return range_pieces(rows, [key], [F.col(c).asc() for c in order], [_AGGREGATE[m.how](m.column).alias(m.name) for m in measures],
+                        hot.n_rows, hot.max_rows)
 
 
 def _combine(how: str, left: Column, right: Column) -> Column:
@@ -73,35 +83,27 @@ def running_by_key(
     hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add every measure as a column.  ``order`` must be total within the key."""
-    aggregate = {"sum": F.sum, "min": F.min, "max": F.max}
     if hot is None or hot.places is None:
         return df.withColumns({
-            m.name: aggregate[m.how](m.column).over(_window([key], order, m.descending, m.inclusive))
+            m.name: _AGGREGATE[m.how](m.column).over(_window([key], order, m.descending, m.inclusive))
             for m in measures
         })
 
-    marked = df.join(small_side(hot.places.withColumn("_hot", F.lit(True)), hot.n), key, "left")
-    number = F.floor(F.unix_micros(order[0]) / F.lit(hot.slice_seconds * 1_000_000)).cast("long")
-    # Rows without a time sort first; the other keys are one slice each.
-    sliced = marked.withColumn(SLICE, F.when(F.col("_hot"), F.coalesce(number, F.lit(-(2**62)))).otherwise(F.lit(0)))
-    totals = sliced.filter("_hot").groupBy(key, SLICE).agg(
-        *[aggregate[m.how](m.column).alias(m.name) for m in measures]
-    )
+    places = small_side(hot.places.select(F.col(key).alias("_hot_key")), hot.n)
+    is_hot = F.col(key).eqNullSafe(F.col("_hot_key"))
+    ranged, totals, n_totals = slices(df.join(places, is_hot, "left_semi"), key, order, measures, hot)
     carried = totals.select(
-        key, SLICE,
-        *[
-            aggregate[m.how](m.name)
-            .over(_window([key], [SLICE], m.descending, inclusive=False))
-            .alias(f"_carry_{m.name}")
-            for m in measures
-        ],
-    )
-    local = sliced.withColumns({
-        m.name: aggregate[m.how](m.column).over(
-            _window([key, SLICE], order, m.descending, m.inclusive))
+        F.col(key).alias("_side_key"), F.col(PIECE).alias("_side_piece"),
+        *[_AGGREGATE[m.how](m.name).over(_window([key], [PIECE], m.descending, inclusive=False)).alias(f"_carry_{m.name}")
+          for m in measures])
+    # The other keys are one slice each.
+    others = df.join(places, is_hot, "left_anti").withColumn(PIECE, F.array().cast("array<int>"))
+    local = ranged.select(*df.columns, PIECE).union(others.select(*df.columns, PIECE)).withColumns({
+        m.name: _AGGREGATE[m.how](m.column).over(_window([key, PIECE], order, m.descending, m.inclusive))
         for m in measures
     })
-    joined = local.join(carried, [key, SLICE], "left")
+    same = [F.col(key).eqNullSafe(F.col("_side_key")), F.col(PIECE) == F.col("_side_piece")]
+    joined = local.join(small_side(carried, n_totals), same, "left")
     return joined.withColumns({
         m.name: _combine(m.how, F.col(m.name), F.col(f"_carry_{m.name}")) for m in measures
     }).select(*df.columns, *[m.name for m in measures])

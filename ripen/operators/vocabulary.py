@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import SMALL_ROWS, cut, store_measured
+from ..session import SMALL_ROWS, cut
 from .ranking import prefix_sums
 
 UNSEEN = -1
@@ -151,15 +151,14 @@ def category_index(train: DataFrame, columns: Sequence[str], *, keep_unseen: boo
     if keep_unseen:
         extra = train.sparkSession.createDataFrame(
             [(c, str(unseen_marker(train, c))) for c in columns], "column string, value string")
-    vocab, told = store_measured(
-        vocabulary(filled, columns, extra).withColumn("one", F.lit(1)), n=F.count(F.lit(1)))
+    vocab = vocabulary(filled, columns, extra).withColumn("one", F.lit(1))
     # Numbers keep their order when texts stand beside them.
     numbers = [c for c in columns if not _is_text(train, c)]
     mixed = 0 < len(numbers) < len(columns)
     if mixed:
         vocab = vocab.withColumn("_number", F.when(F.col("column").isin(numbers), F.col("value")).cast("long"))
-    ranked = prefix_sums(vocab, ["_number", "value"] if mixed else "value", ["one"], by=["column"], n_rows=told["n"],
-                         max_rows=max_rows)
+    ranked = prefix_sums(vocab, ["_number", "value"] if mixed else "value", ["one"], by=["column"],
+                         max_rows=max_rows, uncounted=True)
     return ranked.select("column", "value", F.col("one_before").cast("int").alias("index"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -88,13 +88,15 @@ def write_days(
         df = df.withColumn("event_date", F.when(
             outside, F.raise_error(F.concat(F.lit("A row lies outside the days: "), F.coalesce(F.col("event_date").cast("string"), F.lit("null")))).cast("date")
         ).otherwise(F.col("event_date")))
-    held = Observation()
-    watched = df if not days else df.observe(held, *[F.max(F.col("event_date") == F.lit(d)).alias(str(d)) for d in days])
-    watched.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").save(target)
-    if not days:
-        return
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for day in days:
-        if not held.get[str(day)]:
+
+    def held(day):
+        folder = path(f"{target}/event_date={day}")
+        return {f.getPath().getName() for f in files.listStatus(folder)} if files.exists(folder) else set()
+
+    before = {day: held(day) for day in days or ()}
+    df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").save(target)
+    for day, names in before.items():
+        if names and held(day) == names:  # not written anew: no rows came
             files.delete(path(f"{target}/event_date={day}"), True)

@@ -35,14 +35,31 @@ MEASURES = [
 
 def test_sliced_running_aggregates_equal_plain_windows(spark):
     df = skewed(spark)
-    hot = find_hot_keys(df, "u", max_rows=60, slice_seconds=30)
-    assert [r["u"] for r in hot.places.collect()] == ["hot"] and hot.n == 1
+    hot = find_hot_keys(df, "u", max_rows=60)
+    assert [r["u"] for r in hot.places.collect()] == ["hot"] and hot.n == 1 and hot.n_rows > 1200
     plain = running_by_key(df, "u", ["t", "i"], MEASURES)
     sliced = running_by_key(df, "u", ["t", "i"], MEASURES, hot=hot)
     assert sliced.columns == plain.columns
     assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, sliced.collect()), key=str)
 
 
+def test_a_user_whose_rows_share_one_second_is_sliced(spark):
+    """Slices are ranges of (time, id), so no slice is larger than the bound, however many rows share a moment."""
+    from ripen.operators import running
+
+    moment = dt.datetime(2024, 1, 1, 7)
+    rows = [(i, "one" if i % 3 else f"u{i % 9}", moment, i % 5, None if i % 7 == 0 else i / 10) for i in range(2400)]
+    rows += [(3000 + i, None, moment, 1, 0.5) for i in range(700)]  # rows without a user are a group as well
+    df = spark.createDataFrame(rows, "i int, u string, t timestamp, v int, x double")
+    hot = find_hot_keys(df, "u", max_rows=500)
+    assert hot.n == 2 and hot.n_rows == 2300
+    ranged, totals, _ = running.slices(df.filter("u = 'one'"), "u", ["t", "i"], MEASURES, hot)
+    assert 1600 / 500 <= totals.count() and totals.agg(F.max("_rows")).first()[0] <= 500
+    sliced = running_by_key(df, "u", ["t", "i"], MEASURES, hot=hot)
+    plain = running_by_key(df, "u", ["t", "i"], MEASURES)
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, sliced.collect()), key=str)
+
+
 def test_no_hot_keys_keeps_the_plain_plan(spark):
     assert find_hot_keys(skewed(spark), "u").places is None
 
@@ -220,13 +237,13 @@ def test_prefix_sums_of_texts_cut_pieces_again(spark, descending):
 
 def test_a_large_piece_is_cut_again(spark):
     df = spark.range(5000).select(F.col("id").alias("x"), F.lit(1).alias("n"))
-    _, totals, n = ranking.range_pieces(df, [], [F.col("x").asc()], ["n"], 40, 100)
+    _, totals, n = ranking.range_pieces(df, [], [F.col("x").asc()], [F.sum("n").alias("n")], 40, 100)
     rows = totals.orderBy("_piece").collect()
     assert n == len(rows) and max(r["_rows"] for r in rows) <= 100 and sum(r["n"] for r in rows) == 5000
     assert {len(r["_piece"]) for r in rows} == {2}  # 8 pieces for 40 expected rows, all of them cut again
     same = spark.range(500).select(F.lit(1).alias("x"), F.lit(1).alias("n"))
     with pytest.raises(ValueError, match="equal"):
-        ranking.range_pieces(same, [], [F.col("x").asc()], ["n"], 40, 100)
+        ranking.range_pieces(same, [], [F.col("x").asc()], [F.sum("n").alias("n")], 40, 100)
 
 
 def test_groups_are_calibrated_as_alone(spark):
