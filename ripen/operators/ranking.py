@@ -16,6 +16,8 @@ from ..functions import bround_share
 from ..session import SMALL_ROWS, small_side, store
 
 PIECE = "_piece"
+#: Smaller pieces than this share a task.
+PART_ROWS = 250_000
 FRAME = (Window.unboundedPreceding, -1)
 
 
@@ -43,7 +45,12 @@ def range_pieces(df: DataFrame, by: Sequence[str], order: Sequence[Column], aggr
         return totals, totals.agg(F.count(F.lit(1)).alias("n"), F.max("_rows").alias("largest")).first()
 
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = store(cut_up(df, max(least, -(-2 * n_rows // max_rows)), None))
+    first = cut_up(df, max(least, -(-2 * n_rows // max(max_rows, PART_ROWS))), None)
+    if max_rows < PART_ROWS:  # many small pieces of a range, rather than as many tasks
+        place = F.row_number().over(Window.partitionBy(PIECE).orderBy(*[F.col(c) for c in by], *order)) - 1
+        first = first.withColumn("_place", place).withColumn(
+            PIECE, F.concat(PIECE, F.array(F.floor(F.col("_place") / max_rows).cast("int")))).drop("_place")
+    ranged = store(first)
     totals, told = totals_of(ranged)
     while (told["largest"] or 0) > max_rows:
         large = totals.groupBy(PIECE).agg(F.sum("_rows").alias("_rows")).where(F.col("_rows") > max_rows)

@@ -222,8 +222,10 @@ def test_scales_of_degenerate_columns(spark):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-def test_prefix_sums_of_texts_cut_pieces_again(spark, descending):
+@pytest.mark.parametrize("part_rows", [1, 250_000])
+def test_prefix_sums_of_texts_cut_pieces_again(spark, monkeypatch, descending, part_rows):
     """Texts and nulls are ordered, groups too, and pieces of more than 40 rows are cut until none is left."""
+    monkeypatch.setattr(ranking, "PART_ROWS", part_rows)
     rng = random.Random(3)
     texts = sorted({"".join(rng.choices("abé", k=rng.randint(0, 7))) for _ in range(600)})
     rows = [(g, v, 1) for g in ("a", None) for v in [*texts, None]]
@@ -235,7 +237,8 @@ def test_prefix_sums_of_texts_cut_pieces_again(spark, descending):
     assert {r.n_total for r in out} == {len(order)} and len(out) == len(rows)
 
 
-def test_a_large_piece_is_cut_again(spark):
+def test_a_large_piece_is_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "PART_ROWS", 1)
     df = spark.range(5000).select(F.col("id").alias("x"), F.lit(1).alias("n"))
     _, totals, n = ranking.range_pieces(df, [], [F.col("x").asc()], [F.sum("n").alias("n")], 40, 100)
     rows = totals.orderBy("_piece").collect()
