@@ -1,4 +1,5 @@
-"""Named queries.  Each takes (spark, sf_dir) and reads the whole event log.
+"""Named queries.  Each takes (spark, sf_dir) and reads the event log; those of one fold go on with the
+fold's window of it.
 
 Arrays are flattened and doubles rounded to six places, so that results can be compared
 with SQL value by value.
