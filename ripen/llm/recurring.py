@@ -1,7 +1,7 @@
 """What recurs in a corpus: which of a document's tokens occur elsewhere too, told bucket by bucket.
 
 Documents fall into buckets by a hash of their id.  Tasks turn documents into 64-bit tokens (hashes of
-shingles, of anchors) and send them, packed as arrays, to token ranges; a range counts its tokens and
+shingles, of anchors) and send them, one row of arrays per range, to token ranges; a range counts its tokens and
 sends those with at least two occurrences back to the buckets that hold them.  A bucket's documents and
 its recurring tokens then meet in a cogroup.  Nothing is collected or broadcast, groups are bounded by the
 bucket and range sizes, and a token that is frequent within one flush of a task is known to recur without
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKET_BYTES = 5_000_000
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_000_000
 HOT_HERE = 64
 LAST_ID = 2**63 - 1
 #: Class of tokens that some task found frequent; others have the rounded 4 * log2(count).
@@ -70,14 +70,22 @@ def _count_class(counts: np.ndarray) -> np.ndarray:
 
 
 ROUTED = "r int, bucket int, keys binary, classes binary"
+SPREAD = "r int, ready boolean, keys binary, buckets binary"
+#: In place of a bucket: the key is frequent in some flush, and told to the range once.
+MARK = -1
 
 
-def _routed(rows: list[tuple]) -> pa.RecordBatch:
+def _routed(rows: list[tuple]) -> pa.Table:
     columns = list(zip(*rows)) if rows else ([], [], [], [])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()),
-         pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
-        names=["r", "bucket", "keys", "classes"])
+    return pa.table({"r": pa.array(columns[0], pa.int32()), "bucket": pa.array(columns[1], pa.int32()),
+                     "keys": pa.array(columns[2], pa.binary()), "classes": pa.array(columns[3], pa.binary())})
+
+
+def _one_row_a_place(places: np.ndarray, ready: bool, keys: np.ndarray, buckets: np.ndarray) -> list[tuple]:
+    order = np.lexsort((buckets, places))
+    places, keys, buckets = places[order], keys[order], buckets[order].astype(np.int32)
+    at, n = runs(places)
+    return [(int(places[i]), ready, keys[i:i + m].tobytes(), buckets[i:i + m].tobytes()) for i, m in zip(at.tolist(), n.tolist())]
 
 
 def recurring_tokens(docs: DataFrame, tokens_of: Callable, n_buckets: int, n_ranges: int) -> DataFrame:
@@ -86,6 +94,8 @@ def recurring_tokens(docs: DataFrame, tokens_of: Callable, n_buckets: int, n_ran
     ``docs`` has ``bucket`` and ``text``; ``tokens_of`` maps a list of texts (bytes) to (tokens, number of
     the text of each token).  ``keys`` holds unsigned 32-bit low halves within range ``r``, whole keys where
     ``r`` is READY; ``classes`` a byte per key, growing with the token's count, HOT where not given.
+
+    A flush sends each range one row with parallel arrays of keys and buckets, whatever the number of buckets.
     """
 
     def flush(buckets, tokens):
@@ -93,28 +103,22 @@ def recurring_tokens(docs: DataFrame, tokens_of: Callable, n_buckets: int, n_ran
         order = np.argsort(keys, kind="stable")
         keys, buckets = keys[order], buckets[order]
         starts, counts = runs(keys)
-        hot = np.repeat(counts >= HOT_HERE, counts)
-        out = []
-        k, b = keys[~hot], buckets[~hot]
-        place = (k >> np.uint64(32)).astype(np.int64) * n_buckets + b
-        by_place = np.argsort(place, kind="stable")
-        k, place = k[by_place], place[by_place]
-        at, n = runs(place)
-        for i, m in zip(at.tolist(), n.tolist()):
-            r, bucket = divmod(int(place[i]), n_buckets)
-            out.append((r, bucket, (k[i:i + m] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), None))
-        k, b = keys[hot], buckets[hot]
-        by_bucket = np.argsort(b, kind="stable")
-        k, b = k[by_bucket], b[by_bucket]
-        at, n = runs(b)
-        for i, m in zip(at.tolist(), n.tolist()):  # not counted: these keys go straight back
-            out.append((READY, int(b[i]), np.unique(k[i:i + m]).tobytes(), None))
-        marks = keys[starts[counts >= HOT_HERE]]
-        at, n = runs(marks >> np.uint64(32))
-        for i, m in zip(at.tolist(), n.tolist()):
-            low = (marks[i:i + m] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            out.append((int(marks[i] >> np.uint64(32)), -1, low.tobytes(), None))
-        return _routed(out)
+        frequent = counts >= HOT_HERE
+        hot = np.repeat(frequent, counts)
+        marks = keys[starts[frequent]]
+        k = np.concatenate((keys[~hot], marks))
+        b = np.concatenate((buckets[~hot], np.full(len(marks), MARK, buckets.dtype)))
+        out = _one_row_a_place(k >> np.uint64(32), False, k.astype(np.uint32), b)
+        k, b = keys[hot], buckets[hot]  # not counted: these keys go straight back, once per bucket
+        order = np.lexsort((b, k))
+        k, b = k[order], b[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
+        out += _one_row_a_place(b[new] % n_ranges, True, k[new], b[new])
+        columns = list(zip(*out)) if out else ([], [], [], [])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
+            names=["r", "ready", "keys", "buckets"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
@@ -131,40 +135,37 @@ def recurring_tokens(docs: DataFrame, tokens_of: Callable, n_buckets: int, n_ran
         if n_held:
             yield flush(*(np.concatenate(x) for x in zip(*held)))
 
-    def count(table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
-        keys = np.concatenate(blobs)
-        buckets = np.repeat(table.column("bucket").to_numpy(), [len(x) for x in blobs])
-        r = table.column("r")[0].as_py()
-        order = np.argsort(keys, kind="stable")
-        keys, buckets = keys[order], buckets[order]
-        starts, counts = runs(keys)
-        marked = np.zeros(len(keys), bool)
-        marked[buckets < 0] = True
-        hot = np.logical_or.reduceat(marked, starts) if len(starts) else marked
-        classes = np.repeat(np.where(hot, HOT, _count_class(np.maximum(counts, 1))).astype(np.uint8), counts)
-        kept = np.repeat(hot | (counts > 1), counts) & (buckets >= 0)
-        keys, buckets, classes = keys[kept], buckets[kept], classes[kept]
+    def arrays(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
+        return (np.concatenate([np.frombuffer(x, kind) for x in table.column("keys").to_pylist()]),
+                np.concatenate([np.frombuffer(x, np.int32) for x in table.column("buckets").to_pylist()]))
+
+    def answers(r: int, keys, buckets, classes) -> pa.Table:
+        """One row per bucket; the keys come sorted."""
         order = np.argsort(buckets, kind="stable")
-        keys, buckets, classes = keys[order], buckets[order], classes[order]
+        keys, buckets = keys[order], buckets[order]
+        classes = None if classes is None else classes[order]
         at, n = runs(buckets)
         rows = []
         for i, m in zip(at.tolist(), n.tolist()):
-            first, _ = runs(keys[i:i + m])  # keys are sorted within a bucket
-            rows.append((r, int(buckets[i]), keys[i:i + m][first].tobytes(), classes[i:i + m][first].tobytes()))
-        return pa.Table.from_batches([_routed(rows)])
-
-    spread_rows = docs.select("bucket", "text").mapInArrow(spread, ROUTED)
-    # One exchange for both kinds: counted ranges keep their number, ready keys go by bucket.
-    place = F.when(F.col("r") >= 0, F.col("r")).otherwise(n_ranges + F.col("bucket"))
+            first, _ = runs(keys[i:i + m])
+            rows.append((r, int(buckets[i]), keys[i:i + m][first].tobytes(), None if classes is None else classes[i:i + m][first].tobytes()))
+        return _routed(rows)
 
     def settle(table: pa.Table) -> pa.Table:
-        if table.column("r")[0].as_py() >= 0:
-            return count(table)
-        keys = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]))
-        return pa.Table.from_batches([_routed([(READY, table.column("bucket")[0].as_py(), keys.tobytes(), None)])])
+        if table.column("ready")[0].as_py():
+            keys, buckets = arrays(table, np.uint64)
+            order = np.argsort(keys, kind="stable")
+            return answers(READY, keys[order], buckets[order], None)
+        keys, buckets = arrays(table, np.uint32)
+        order = np.argsort(keys, kind="stable")
+        keys, buckets = keys[order], buckets[order]
+        starts, counts = runs(keys)
+        hot = np.logical_or.reduceat(buckets == MARK, starts) if len(starts) else np.empty(0, bool)
+        classes = np.repeat(np.where(hot, HOT, _count_class(np.maximum(counts, 1))).astype(np.uint8), counts)
+        kept = np.repeat(hot | (counts > 1), counts) & (buckets != MARK)
+        return answers(table.column("r")[0].as_py(), keys[kept], buckets[kept], classes[kept])
 
-    return spread_rows.withColumn("place", place).groupBy("place").applyInArrow(settle, ROUTED)
+    return docs.select("bucket", "text").mapInArrow(spread, SPREAD).groupBy("ready", "r").applyInArrow(settle, ROUTED)
 
 
 def known_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -135,6 +135,75 @@ def test_links_of_small_sets_and_long_lists(spark, monkeypatch):
         assert found == brute.linked(texts, width, percent)
 
 
+def test_links_of_repeated_and_missing_ids(spark):
+    """Texts of one id, or of none, keep their own links."""
+    a, b, c = (prose(120, seed) for seed in (301, 302, 303))
+    near = {x: x.rsplit(" ", 1)[0] for x in (a, b, c)}
+    rows = [(1, a), (2, b), (None, near[a]), (None, near[b]), (5, c), (5, prose(90, 304)), (7, near[c]), (8, prose(90, 304) + " end")]
+    for parts in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        found = sorted((x["id"], x["component_id"]) for x in jaccard.link_documents(docs).collect())
+        last = 2**63 - 1
+        assert found == [(1, 1), (2, 2), (5, 5), (5, 5), (7, 5), (8, 5), (last, 1), (last, 2)]
+        kept = [(x["doc_id"], x["text"]) for x in jaccard.one_per_group(docs).collect()]
+        assert sorted(kept) == sorted([(1, a), (2, b), (5, c), (5, prose(90, 304))])
+
+
+def test_near_copies_tell_fewer_links_than_members(spark, monkeypatch):
+    """Groups of near copies, whole and dealt out, beside chains and sets that only look near."""
+    base = prose(300, 400).split()
+    texts = {}
+    for i in range(400):
+        own = list(base)
+        own[i % 290] = f"own{i}"
+        texts[i] = " ".join(own)
+    for i in range(12):  # a chain: neighbours link, others do not
+        texts[1000 + i] = " ".join(prose(400, 401).split()[12 * i:12 * i + 240])
+    for i in range(30):  # 30 sets of one vocabulary, far apart
+        texts[2000 + i] = " ".join(random.Random(i).sample(prose(300, 402).split(), 300))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    told = []
+    whole = jaccard.cluster_links
+    monkeypatch.setattr(jaccard, "cluster_links", lambda sets, candidates, *rest: told.append(
+        (sets.count(), candidates.count(), whole(sets, candidates, *rest))) or told[-1][2])
+    want = brute.linked(texts)
+    for block in (2048, 50):
+        monkeypatch.setattr(jaccard, "LIST_BLOCK", block)
+        assert {x["id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.link_documents(docs).collect()} == want
+        assert told[-1][2].count() < 442
+    assert told[0][0] <= 442
+
+
+def test_recurring_tokens_travel_as_one_row_per_range(spark):
+    from ripen.llm import recurring
+
+    def tokens_of(texts):
+        words = [np.array([hash_of(w) for w in t.split()], np.uint64) for t in texts]
+        return np.concatenate(words), np.repeat(np.arange(len(words)), [len(w) for w in words])
+
+    def hash_of(word):
+        import zlib
+
+        return (zlib.crc32(word) << 32 | zlib.crc32(word[::-1] + b"x")) & (2**64 - 1)
+
+    texts = [" ".join([f"only{i}", f"pair{i // 2}", "every"]) for i in range(300)]
+    docs = spark.createDataFrame([(i % 17, t) for i, t in enumerate(texts)], "bucket int, text string").repartition(2)
+    found = recurring.recurring_tokens(docs, tokens_of, 17, 3).collect()
+    got = {}
+    for x in found:
+        if x["r"] == recurring.READY:
+            keys = np.frombuffer(x["keys"], np.uint64)
+        else:
+            keys = np.frombuffer(x["keys"], np.uint32).astype(np.uint64) | np.uint64(x["r"] << 32)
+            assert len(x["classes"]) == len(keys)
+        got.setdefault(x["bucket"], set()).update(keys.tolist())
+    want = {}
+    for i in range(300):
+        both = recurring.token_keys(np.array([hash_of(w.encode()) for w in (f"pair{i // 2}", "every")], np.uint64), 3)
+        want.setdefault(i % 17, set()).update(both.tolist())
+    assert got == want
+
+
 def test_repeats(spark, odd, empty):
     found = phrases.cut_repeats(odd).select("row.doc_id", "n_words", "n_removed", "kept_text", "spans").collect()
     rows = sorted(((i if i is not None else 2**63 - 1, t or "") for i, t, *_ in ROWS))
