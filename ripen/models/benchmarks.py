@@ -120,9 +120,11 @@ def _tree_depth(settings) -> int:
 
 
 def _grow(plan: OneHotPlan, settings, n_trees: int, seed: int):
+    """Each row keeps its node of every tree, so a level costs one step a tree and not a walk from the root."""
     return RandomForestClassifier(
         numTrees=n_trees, maxDepth=_tree_depth(settings), minInstancesPerNode=int(settings["min_samples_leaf"]),
         featureSubsetStrategy=str(settings["max_features"]), subsamplingRate=float(settings["row_share"]), seed=seed,
+        cacheNodeIds=True, checkpointInterval=10,
     ).fit(plan.encoded).copy()  # without the training summary, which would travel to the tasks
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripen import session
-from ripen.models import Candidates, ModelSpec, trainer
+from ripen.models import Candidates, ModelSpec, benchmarks, trainer
 from ripen.models.network import Shape, initial_rows
 from ripen.models.trainer import Job, Layout
 from ripen.operators import metrics
@@ -123,3 +123,14 @@ def test_forests_in_groups(rows):  # noqa: F811
     whole, groups = fitted(9), fitted(4)
     assert groups.count() == whole.count() and groups.filter("p <= 0 OR p >= 1").isEmpty()
     assert abs(metrics.loss_metrics(groups).first().rce - metrics.loss_metrics(whole).first().rce) < 5
+
+
+def test_rows_keep_their_nodes_while_trees_grow(rows, monkeypatch):  # noqa: F811
+    plan = benchmarks.plan_forest(rows, FOLD, spec())
+    settings = {**benchmarks.RF_DEFAULTS, "max_depth": 12, "min_samples_leaf": 5}
+    kept = benchmarks._grow(plan, settings, 4, 7)
+    assert kept.getCacheNodeIds()
+    walked = benchmarks.RandomForestClassifier
+    monkeypatch.setattr(benchmarks, "RandomForestClassifier", lambda **options: walked(**{**options, "cacheNodeIds": False}))
+    trees = [model.toDebugString.split("\n", 1)[1] for model in (kept, benchmarks._grow(plan, settings, 4, 7))]
+    assert trees[0] == trees[1] and kept.totalNumNodes > 40
