@@ -338,6 +338,35 @@ def test_scores_learn_from_both_sides(spark):
     assert found.log_prob.sum() / found.n_words.sum() > 0.5 * np.log(1 / 12)
 
 
+def test_every_word_is_a_target():
+    lengths = np.array([0, 4000, 1, 3000, 3000, 0])
+    cells = [bytes([i % 3]) * n for i, n in enumerate(lengths)]
+    for training in (masked_lm.Training(), masked_lm.Training(rounds=4, masked=0.25), masked_lm.Training(rounds=1, masked=1.0)):
+        turns = [masked_lm.targets_in(cells, lengths, turn, training) for turn in range(training.rounds)]
+        assert sorted(np.concatenate(turns)) == list(range(10_001))
+        assert all(abs(len(t) - 10_001 / training.rounds) < 300 for t in turns)
+    for rounds, masked in ((2, 0.125), (1, 0.9), (0, 1.0), (3, 0.0)):
+        with pytest.raises(ValueError, match="never a target"):
+            masked_lm.Training(rounds=rounds, masked=masked)
+
+
+def test_steps_follow_the_slope():
+    """Gradients against differences of the mean log-probability."""
+    rng = np.random.default_rng(2)
+    shape = masked_lm.Shape(n_top=5, n_tail=3, group=4, width=3, reach=1)
+    parameters = [rng.normal(0, 0.5, p.shape) for p in masked_lm.start_parameters(shape, 1)]
+    classes, lengths, at = rng.integers(0, 8, 30), np.array([12, 0, 18]), np.arange(30)
+    found = masked_lm.gradients(parameters, classes, lengths, at, shape)
+    for p, slopes in zip(parameters, found):
+        for cell in rng.choice(p.size, min(p.size, 12), replace=False):
+            both = []
+            for step in (1e-5, -1e-5):
+                p.flat[cell] += step
+                both.append(-masked_lm.log_probabilities(parameters, classes, lengths, at, shape).mean())
+                p.flat[cell] -= step
+            assert slopes.flat[cell] == pytest.approx((both[0] - both[1]) / 2e-5, abs=1e-6)
+
+
 def test_importance_draw(spark, odd, empty):
     target = spark.createDataFrame([(SHARED,), (None,), ("",)], "text string")
     settings = importance.Settings(least_words=1, percent=60)
