@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from ripen.llm import (
     importance, jaccard, lengths, masked_lm, mixing, neighbours, packing, phrases, quality, spelling, suffixes, token_files, toxicity,
@@ -367,6 +369,30 @@ def test_steps_follow_the_slope():
             assert slopes.flat[cell] == pytest.approx((both[0] - both[1]) / 2e-5, abs=1e-6)
 
 
+def test_a_step_takes_all_groups_together(monkeypatch):
+    """Softmaxes run over all targets of a batch, however many groups their classes are in."""
+    rng = np.random.default_rng(3)
+    shape = masked_lm.Shape(n_top=48, n_tail=16, group=4, width=3, reach=1)
+    parameters = masked_lm.start_parameters(shape, 1)
+    classes, lengths, at = rng.integers(0, 64, 400), np.array([150, 0, 250]), np.arange(400)
+    sizes, softmax = [], masked_lm._softmax
+    monkeypatch.setattr(masked_lm, "_softmax", lambda x: sizes.append(x.shape) or softmax(x))
+    masked_lm.gradients(parameters, classes, lengths, at, shape)
+    assert sizes == [(400, 16), (400, 4)]
+
+
+def test_words_and_their_classes():
+    """ASCII space alone parts words, also of texts that are not UTF-8."""
+    shape, top = masked_lm.Shape(n_top=2, n_tail=5), {b"a": 0, b"b": 1}
+    raw = [None, b"", b" \n", b" a b ", b"\x0ba\x0cb\rc\n\td\x1ce\x1f f", b"\xff\xfe a \xc3\x28 b", "a\u0085b a\u00a0 \u3000".encode(), b"a\x00 " * 3000]
+    texts = pa.array(raw, pa.binary()).view(pa.string())
+    for some, first in ((texts, 0), (texts.slice(3, 4), 3), (texts[:1], 0), (texts[:0], 0)):
+        words = [(t or b"").split() for t in raw[first:first + len(some)]]
+        classes, lengths = masked_lm.classes_of(some, top, shape)
+        assert lengths.tolist() == [len(w) for w in words]
+        assert classes.tolist() == [top.get(w, 2 + xxhash.xxh3_64_intdigest(w) % 5) for text in words for w in text]
+
+
 def test_importance_draw(spark, odd, empty):
     target = spark.createDataFrame([(SHARED,), (None,), ("",)], "text string")
     settings = importance.Settings(least_words=1, percent=60)
