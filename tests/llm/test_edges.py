@@ -244,6 +244,30 @@ def test_strings_dealt_by_distance(spark, monkeypatch):
     assert found == dict(zip([r[0] for r in rows], [w[:2] for w in brute.without_strings([r[1].encode() for r in rows])]))
 
 
+def test_strings_of_a_passage_in_many_texts_part(spark, monkeypatch):
+    """No task has all contexts of a gram that many texts surround with others."""
+    sort, most = suffixes._recurring, 40
+    monkeypatch.setattr(suffixes, "CONTEXTS_AT_ONCE", most)
+
+    def watched(*args):
+        own = sort(*args)
+
+        def recurring(table):
+            grams = table.column("gram").to_pylist()
+            assert all(grams.count(g) <= 2 * most for g in set(grams))
+            return own(table)
+
+        return recurring
+
+    monkeypatch.setattr(suffixes, "_recurring", watched)
+    passage = prose(110, 300)
+    docs = spark.createDataFrame([(i, f"{prose(60, 301 + i)} {prose(5, i % 50)} {passage} {prose(5, i % 40)} {prose(60, 701 + i % 150)}")
+                                  for i in range(300)], "doc_id long, text string")
+    found = {r[0]: (r[1], r[2]) for r in suffixes.cut_recurring(docs, bucket_bytes=2000).select("row.doc_id", "n_bytes", "n_removed").collect()}
+    rows = docs.collect()
+    assert found == dict(zip([r[0] for r in rows], [w[:2] for w in brute.without_strings([r[1].encode() for r in rows])]))
+
+
 def test_ranks_order_like_the_rows():
     names = np.random.default_rng(1).integers(0, 3, (200, 11)).astype(np.uint64)
     got = suffixes.ranks(names)
